@@ -2,17 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import minmax_hash
-from palimpsest.llm.text import read
+from palimpsest.llm import byte_bpe, line_dedup, minmax_hash, mixing, quality_gam, rule_lists, secret_scan, token_counts
+from palimpsest.llm.text import durable, read
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_dropped")
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_gam.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality_gam.score(docs, model)
+    return scored.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = durable(rule_lists.statistics(read(spark, sf_dir, "documents")))
+    rules = rule_lists.learn(stats, read(spark, sf_dir, "labels"))
+    return rule_lists.judge(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_hash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents")).drop("found")
+
+
+def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_line_dedup": lines,
+    "op2_quality_gam": quality,
+    "op3_quality_rules": quality_rules,
     "op4_minmax_near_dedup": near_dedup,
+    "op5_token_counts": tokens,
+    "op8_secret_scan": secrets,
+    "op9_byte_bpe": byte_level_bpe,
+    "op10_source_mixing": mixture,
 }
 ORACLE_SQL: dict[str, str] = {}
