@@ -1,4 +1,61 @@
-"""A training-corpus pipeline."""
+"""A training-corpus pipeline: quality, line dedup, near-dedup, mixing and tokenisation, each stage over all the one before kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import byte_bpe, line_dedup, minmax_hash, mixing, quality_gam
+from palimpsest.llm.text import durable
+
+#: None: neither boosted trees nor ranked merges can be put in SQL. tests/llm/test_pipeline.py checks the stages.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): ...
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality model, learned from these documents' labels, doesn't reject."""
+    model = quality_gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_gam.keep_good(docs, model)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that earlier ones have; those that lose all their words go, n_chars is counted anew."""
+    out = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_lines_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    length = F.when(F.col("n_lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", length).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return minmax_hash.first_of_each_group(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the ids of each document taken, checked by decoding them."""
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("near dedup", one_of_near_copies),
+    ("source mixing", source_mix),
+    ("byte-level BPE", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; what each keeps is in the checkpoint folder before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = durable(docs)
+    return docs

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, line_dedup, minmax_hash, mixing, quality_gam, rule_lists, secret_scan, token_counts
-from palimpsest.llm.text import durable, read
+from palimpsest.llm import byte_bpe, line_dedup, minmax_hash, mixing, quality_gam, rule_lists, secret_scan, spotsigs, token_counts, url_filter
+from palimpsest.llm.text import read
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = durable(rule_lists.statistics(read(spark, sf_dir, "documents")))
+    stats = rule_lists.statistics(read(spark, sf_dir, "documents"))
     rules = rule_lists.learn(stats, read(spark, sf_dir, "labels"))
     return rule_lists.judge(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
@@ -35,6 +35,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_neighbours(read(spark, sf_dir, "documents"))
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents")).drop("found")
 
@@ -54,6 +62,8 @@ QUERIES = {
     "op3_quality_rules": quality_rules,
     "op4_minmax_near_dedup": near_dedup,
     "op5_token_counts": tokens,
+    "op6_spotsigs": fingerprints,
+    "op7_url_filter": urls,
     "op8_secret_scan": secrets,
     "op9_byte_bpe": byte_level_bpe,
     "op10_source_mixing": mixture,

@@ -33,6 +33,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_repeat_words counts the words that lie in a window of three which the text has twice or more: the windows' hashes
     are sorted, those next to an equal one are kept by place, and the places' runs of three are united. That takes
     n log n steps in a text of n words, and only texts with some repeated window take the sort.
+
+    The counts (not the texts) are kept in the checkpoint folder: learning and judging both read them, and a filter on
+    them must not be pushed into the lambdas, where the optimiser would spell out whole arrays for each word.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("_text")).withColumn("_spaced", spaced(F.col("_text")))
@@ -58,7 +61,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
     )["n"]
-    return rows.select(
+    counts = rows.select(
         id_col, "n_words",
         (F.length("_spaced") - F.greatest(F.col("n_words") - 1, F.lit(0))).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -68,6 +71,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         (F.length("_text") - F.length(F.replace("_text", F.lit("!"), F.lit("")))).cast("long").alias("n_marks"),
     )
+    return durable(counts)
 
 
 @dataclass(frozen=True)

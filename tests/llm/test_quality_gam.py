@@ -41,7 +41,7 @@ def test_edge_cases(spark):
     model = quality_gam.fit(docs, none)
     got = quality_gam.score(docs, model)
     assert {r.score for r in got.collect()} == {0.5} and got.count() == 5
-    one = spark.createDataFrame([(2, 1), (3, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    one = spark.createDataFrame([(1, 1), (3, 1), (None, 1), (5, None)], "doc_id long, quality int")
     model = quality_gam.fit(docs, one)
     assert all(0.5 < r.score < 1 for r in quality_gam.score(docs, model).collect())
     assert quality_gam.score(docs.limit(0), model).count() == 0
