@@ -39,32 +39,38 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("n", n_spaced(F.col("words"))).withColumn("line", F.xxhash64("words"))
 
 
-def near_lines(lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(line, partner): for each of the lines, earlier ones within one word's edit, among them the earliest of each kind.
+def near_lines(lines: DataFrame) -> DataFrame:
+    """(line, partner): earlier lines within one word's edit, among them the earliest of each kind of edit.
 
-    lines: (line, words, n, place), distinct by line, place their order. Only those in candidates (line) take part.
+    lines: (line, words, n, place, head, tail), distinct by line; place is their order. Words are left out from the
+    middle on if the first half is shared with some line (head), up to the middle if the last one is (tail).
     """
-    chosen = lines.join(candidates, "line", "left_semi").select("line", "place", "n", "words")
-    word = chosen.select("line", "place", "n", F.posexplode(F.split("words", " ")).alias("i", "w"))
+    word = lines.select("line", "place", "n", "head", "tail", F.posexplode(F.split("words", " ")).alias("i", "w"))
     # Hashes of (word, place) are combined by exclusive or: those before i as they stand, those after it a place lower.
-    word = word.select("line", "place", "n", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("lower"))
+    word = word.select("line", "place", "n", "head", "tail", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("lower"))
     run = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    word = word.select("line", "place", "n", "i", "here", F.bit_xor("here").over(run).alias("to_here"), F.bit_xor("lower").over(run).alias("to_lower"))
-    all_ = Window.partitionBy("line").orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    word = word.select("line", "place", "n", "i", F.col("to_here").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("to_lower")).bitwiseXOR(F.last("to_lower").over(all_)).alias("variant"), F.when(F.col("i") == F.col("n") - 1, F.col("to_here")).alias("whole"))
-    word = durable(word)
-    variants = word.select("line", "place", F.col("n").alias("of"), "i", "variant")
+    rest = Window.partitionBy("line").orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    word = word.select("line", "place", "n", "head", "tail", "i", "here", F.bit_xor("here").over(run).alias("to_here"), F.bit_xor("lower").over(run).alias("to_lower"))
+    variant = F.col("to_here").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("to_lower")).bitwiseXOR(F.last("to_lower").over(rest))
+    word = word.select("line", "place", "n", "head", "tail", "i", "to_here", variant.alias("variant"))
+    middle = F.floor((F.col("n") - 1) / 2)
+    wanted = (F.col("head") & (F.col("i") >= middle)) | (F.col("tail") & (F.col("i") <= middle))
+    forms = F.array(
+        F.when(wanted, F.struct(F.xxhash64("variant", "n").alias("key"), F.col("i").alias("i"))),
+        F.when(F.col("i") == F.col("n") - 1, F.struct(F.xxhash64("to_here", F.col("n") + 1).alias("key"), F.lit(-1).alias("i"))),
+    )
+    # One row for each variant, and one of i = -1 for the whole line under the key that a longer line's variant has.
+    forms = word.select("line", "place", F.explode(forms).alias("x")).where("x is not null").select("x.key", "x.i", "line", "place").repartition("key")
     # Substitution: all lines that agree without their i-th word are one edit apart; the earliest speaks for them.
-    first = variants.groupBy("variant", "of", "i").agg(F.min(F.struct("place", "line")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    same = variants.join(first, ["variant", "of", "i"]).where("line <> first.line").select("line", F.col("first.line").alias("partner"), "i")
-    # Insertion: a line without its i-th word is another line as a whole. Each variant meets one line at most.
-    whole = word.where("whole is not null").select(F.col("line").alias("short"), F.col("place").alias("short_place"), F.col("whole").alias("variant"), (F.col("n") + 1).alias("of"))
-    longer = variants.join(whole, ["variant", "of"])
-    shorter_first = longer.where("short_place < place").select("line", F.col("short").alias("partner"), "i")
-    longer_first = longer.where("place < short_place").select(F.col("short").alias("line"), F.col("line").alias("partner"), "i")
-    met = same.union(shorter_first).union(longer_first).distinct()
-    # Verify on the words: both lines without word i, of what has one more or as many words as the other.
-    text = chosen.select("line", F.split("words", " ").alias("w"))
+    first = forms.groupBy("key", "i").agg(F.min(F.struct("place", "line")).alias("first"), F.count("*").alias("m")).where("m > 1 or i = -1")
+    first = first.select(F.col("key").alias("at"), F.col("i").alias("first_i"), "first.*", "m").withColumnsRenamed({"line": "first_line", "place": "first_place"})
+    # Insertion: a line without its i-th word is another line as a whole.
+    alike = ((F.col("i") == F.col("first_i")) & (F.col("m") > 1) & (F.col("line") != F.col("first_line"))) | ((F.col("first_i") == -1) & (F.col("i") >= 0))
+    met = forms.join(first, (F.col("key") == F.col("at")) & alike)
+    later = F.when(F.col("first_place") < F.col("place"), F.struct("line", F.col("first_line").alias("partner"))).otherwise(F.struct(F.col("first_line").alias("line"), F.col("line").alias("partner")))
+    met = durable(met.select(later.alias("x"), "i").select("x.*", "i").distinct())
+    # Verify on the words: both lines without word i, or the longer one without it and the other as it is.
+    text = lines.select("line", F.split("words", " ").alias("w"))
     pairs = met.join(text, "line").join(text.withColumnsRenamed({"line": "partner", "w": "v"}), "partner")
     cut = lambda x: F.concat(F.slice(x, F.lit(1), F.col("i")), F.slice(x, F.col("i") + 2, F.greatest(F.size(x) - F.col("i") - 1, F.lit(0))))
     left = F.when(F.size("w") >= F.size("v"), cut(F.col("w"))).otherwise(F.col("w"))
@@ -77,19 +83,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = durable(_occurrences(docs, id_col, text_col).select("doc", "copy", "at", "line", F.when(F.col("n") >= least_words, _halves(F.col("words"), F.col("n"))).alias("keys")))
     lines = found.groupBy("line").agg(F.min(F.struct("doc", "copy", "at")).alias("place"), F.first("keys").alias("keys"), F.count("*").alias("m"))
     lines = durable(lines)
-    halves = lines.where("keys is not null").select("line", F.explode(F.array_distinct("keys")).alias("key"))
+    halves = lines.where("keys is not null").select("line", F.posexplode("keys").alias("k", "key"))
     shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
-    candidates = durable(halves.join(shared, "key", "left_semi").select("line").distinct())
+    candidates = halves.join(shared, "key").groupBy("line").agg(F.bool_or(F.col("k") % 2 == 0).alias("head"), F.bool_or(F.col("k") % 2 == 1).alias("tail"))
     # The words of the candidates, from their first place.
-    first = lines.join(candidates, "line", "left_semi").select("line", "place", "place.doc", "place.copy", "place.at")
-    first = durable(first)
-    of = hinted(first.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "line", "place")).alias("wanted")).withColumnsRenamed({"doc": "__doc__", "copy": "__copy__"}))
+    first = durable(lines.select("line", "place").join(candidates, "line").select("line", "place", "place.doc", "place.copy", "place.at", "head", "tail"))
+    of = hinted(first.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "line", "place", "head", "tail")).alias("wanted")).withColumnsRenamed({"doc": "__doc__", "copy": "__copy__"}))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("_text"))
     texts = texts.join(of, F.col("doc").eqNullSafe(F.col("__doc__")) & (F.col("copy") == F.col("__copy__")))
     texts = texts.select(F.split("_text", "\n").alias("_lines"), "wanted").select("_lines", F.explode("wanted").alias("x"))
-    words = texts.select("x.line", "x.place", spaced(F.get("_lines", F.col("x.at"))).alias("words")).dropDuplicates(["line"]).withColumn("n", n_spaced(F.col("words")))
+    words = texts.select("x.line", "x.place", "x.head", "x.tail", spaced(F.get("_lines", F.col("x.at"))).alias("words")).dropDuplicates(["line"]).withColumn("n", n_spaced(F.col("words")))
     words = durable(words)
-    near = durable(near_lines(words, candidates).select("line").distinct())
+    near = durable(near_lines(words).select("line").distinct())
     gone = lines.join(near.withColumn("near", F.lit(True)), "line", "left").where("near or m > 1").select("line", "place", F.coalesce("near", F.lit(False)).alias("near"))
     return found.join(gone, "line").where(F.col("near") | (F.struct("doc", "copy", "at") != F.col("place"))).select("doc", "copy", "at")
 
