@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import json_text, variant
 from palimpsest.functions import text as text_functions
-from palimpsest.operators import blobs, branch, log, writes
+from palimpsest.operators import blobs, branch, history, log, writes
 from palimpsest.plans import index_query, rules
 from palimpsest.plans.index_query import Index, Query
 from palimpsest.sources import tables
@@ -328,3 +328,74 @@ def undo_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.event_log(spark, sf_dir)
     before = F.lag("target").over(Window.partitionBy("resource").orderBy("seq"))
     return log.undo_stack(events.select(F.col("resource").alias("author"), F.col("target").alias("gesture"), "seq", F.when(F.col("author") == "error", before).alias("undoes")))
+
+
+@query("select '/r/schemas/order/rev/' || o_orderstatus as schema, count(distinct o_orderkey) as resources, count(*) as revisions from orders group by 1")
+def schema_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.schema_usage(tables.order_index(spark, sf_dir).docs)
+
+
+@query(f"""select seq, resource, coalesce(last_value(case when kind = 'head' then author <> 'view' end ignore nulls) over (partition by resource order by seq), false) as visible from {LOG}""")
+def judged_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.judged_revisions(tables.event_log(spark, sf_dir), F.col("author") != "view").select("seq", "resource", "visible")
+
+
+@query(f"""with v as (select *, author <> 'view' as v, lag(author <> 'view') over (partition by resource order by seq) as b from {LOG}),
+  f as (select seq, resource, v from v where v or coalesce(b, false))
+  select seq, resource, cast(sum((not v)::int) over (partition by resource order by seq) as bigint) as segment from f""")
+def fold_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.fold_segments(log.filtered(tables.event_log(spark, sf_dir), F.col("author") != "view")).select("seq", "resource", "segment")
+
+
+@query(f"select resource, arg_max(kind, seq) as kind, arg_max(target, seq) as target, max(seq) as seq, false as purged from {LOG} where seq > 2000 group by 1")
+def branch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.branch_changes(tables.event_log(spark, sf_dir).where("seq > 2000")).drop("ns")
+
+
+@query(f"""with h as (select resource, max(seq) - 1000 as horizon from {LOG} group by 1)
+  select resource, seq from {LOG} join h using (resource) where seq < horizon and author <> 'purchase'""")
+def prunable_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.event_log(spark, sf_dir)
+    horizons = events.groupBy("ns", "resource").agg((F.max("seq") - 1000).alias("horizon"))
+    return log.prunable(events, horizons, events.where("author = 'purchase'").select("ns", "resource", "seq")).select("resource", "seq")
+
+
+@query("""select 'c' || c_custkey as node from customer union select distinct 'n' || c_nationkey from customer
+  union select distinct 'r' || n_regionkey from nation join customer on c_nationkey = n_nationkey""")
+def export_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation = tables.table(spark, sf_dir, "customer"), tables.table(spark, sf_dir, "nation")
+    name = lambda prefix, column: F.concat(F.lit(prefix), F.col(column))
+    refs = customer.select(name("c", "c_custkey").alias("node"), name("n", "c_nationkey").alias("target")).union(nation.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+    return branch.closure(customer.select(name("c", "c_custkey").alias("node")), refs)
+
+
+@query("select doc_id::varchar as resource from documents where contains(lower(text), 'rights reserved')")
+def ascii_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.document_texts(spark, sf_dir).where(text_functions.contains_folded(F.col("body"), "Rights Reserved")).select("resource")
+
+
+@query(r"""select page_id::varchar as resource, regexp_extract(url, '://[^/]*/([^/?#]*)/(.*)$', 2) as name from pages where regexp_extract(url, '://[^/]*/([^/?#]*)/(.*)$', 1) = 'de' order by name, resource limit 100""")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder's files by name: a facet and a sort on file documents."""
+    part = lambda k: F.regexp_extract("url", r"://[^/]*/([^/?#]*)/(.*)$", k)
+    files = tables.table(spark, sf_dir, "pages").select(F.lit("files").alias("ns"), F.col("page_id").cast("string").alias("resource"), part(1).alias("folder"), part(2).alias("name"))
+    facet = files.select("ns", "resource", F.lit("/folder").alias("path"), F.col("folder").alias("value"), F.col("folder").alias("raw"))
+    docs = files.select("ns", "resource", F.col("resource").alias("head"), F.lit(None).cast("string").alias("schema"))
+    page = index_query.run(Query(facets=(("/folder", "de"),), sort=("/name",), limit=100), Index(docs, facet, tables.sort_rows(files, "/name", text=F.col("name"))))
+    return page.select("resource", F.col("k0").alias("name"))
+
+
+@query(f"select resource, arg_max(target, seq) as target, max(seq) as seq from {LOG} group by 1 having arg_max(kind, seq) = 'head'")
+def followed_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log read as a stream into an index of deltas, under the shared checkpoint folder; then what it amounts to."""
+    import uuid
+
+    from palimpsest.session import durable
+
+    events = tables.table(spark, sf_dir, "events")
+    durable(spark.range(1))  # the session has a checkpoint folder from here on
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/follow-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream takes no single file
+    query = follow.follow(tables.as_log(stream), follow.upsert_to(f"{folder}/index"), f"{folder}/at", once=True)
+    query.awaitTermination()
+    return follow.current(spark, f"{folder}/index").select("resource", "target", "seq")

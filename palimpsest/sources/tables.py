@@ -14,14 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as one namespace's log: resources are users, an error is a tombstone, event ids are the order."""
-    return table(spark, sf_dir, "events").select(
+    return as_log(table(spark, sf_dir, "events"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
+    return events.select(
         F.lit("events").alias("ns"), F.concat(F.lit("u"), F.col("user_id")).alias("resource"), F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "error", "tombstone").otherwise("head").alias("kind"),
         F.concat(F.lit("e"), F.col("event_id")).alias("target"), F.col("ts").alias("created"), F.col("event_type").alias("author"), "props",
     )
 
 
-def _sort_rows(docs: DataFrame, path: str, number=None, text=None) -> DataFrame:  # noqa: ANN001
+def sort_rows(docs: DataFrame, path: str, number=None, text=None) -> DataFrame:  # noqa: ANN001
     return docs.select(
         "ns", "resource", F.lit(path).alias("path"), F.lit(0 if number is not None else 1).alias("rank"),
         (number if number is not None else F.lit(None)).cast("double").alias("num"), (text if text is not None else F.lit(None)).cast("string").alias("str"),
@@ -38,9 +42,9 @@ def order_index(spark: SparkSession, sf_dir: str) -> Index:
     facet = lambda rows, path, column: rows.select("ns", "resource", F.lit(path).alias("path"), F.col(column).alias("value"), F.to_json(F.array(column)).alias("raw"))
     facets = facet(orders, "/status", "o_orderstatus").union(facet(orders, "/priority", "o_orderpriority")).union(facet(lines, "/flags", "l_returnflag").dropDuplicates(["resource", "value"]))
     sorts = (
-        _sort_rows(orders, "/price", number=F.col("o_totalprice"))
-        .union(_sort_rows(orders, "/date", text=F.date_format("o_orderdate", "yyyy-MM-dd")))
-        .union(_sort_rows(lines, "/line/price", number=F.col("l_extendedprice")))
+        sort_rows(orders, "/price", number=F.col("o_totalprice"))
+        .union(sort_rows(orders, "/date", text=F.date_format("o_orderdate", "yyyy-MM-dd")))
+        .union(sort_rows(lines, "/line/price", number=F.col("l_extendedprice")))
     )
     ref = lambda rows, path, ns, key: rows.select("ns", "resource", F.lit(path).alias("path"), F.concat(F.lit(f"/r/{ns}/"), F.col(key)).alias("ref"), F.lit(ns).alias("target_ns"), F.col(key).cast("string").alias("target"), F.lit(None).cast("string").alias("rev"), F.lit(None).cast("string").alias("entry"))
     refs = ref(orders, "/customer", "customer", "o_custkey").union(ref(lines, "/lines/part", "part", "l_partkey")).union(ref(lines, "/lines/supplier", "supplier", "l_suppkey"))
