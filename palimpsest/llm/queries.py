@@ -68,4 +68,37 @@ QUERIES = {
     "op9_byte_bpe": byte_level_bpe,
     "op10_source_mixing": mixture,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for what SQL can express; the other queries are tested against brute force, libraries or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+with l as (select doc_id, i - 1 as k, x[i] as line from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null), unnest(range(1, len(x) + 1)) t(i)),
+w as (select doc_id, k, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w from l),
+d as (select w, min({'d': doc_id, 'a': k}) as place from w where len(w) > 0 group by w),
+v as (select place, len(w) as n, i, hash(w[1:i] || w[i + 2:]) as h from d, unnest(range(len(w))) t(i) where len(w) >= 8),
+s as (select h, n, i, min(place) as p from v group by all having count(*) > 1),
+near as (
+  select place from v join s using (h, n, i) where p < place
+  union
+  select greatest(v.place, b.place) from v join (select place, len(w) as n, hash(w) as h from d where len(w) >= 8) b on v.h = b.h and v.n = b.n + 1),
+j as (select w.doc_id, w.k, w.line, coalesce(d.place <> {'d': w.doc_id, 'a': w.k} or near.place is not null, false) as gone
+  from w left join d on w.w = d.w left join near on near.place = d.place)
+select t.doc_id, case when t.text is null then null else coalesce(string_agg(j.line, chr(10) order by j.k) filter (where not j.gone), '') end as text,
+  cast(count(*) filter (where j.gone) as int) as n_lines_dropped from documents t left join j using (doc_id) group by t.doc_id, t.text""",
+    "op4_minmax_near_dedup": r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as g from t),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+b as (select x, y from e union all select y, x from e),
+r as (select doc_id as node, doc_id as root from documents union select b.y, r.root from r join b on b.x = r.node)
+select doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(root) as component_id, doc_id = min(root) as kept
+  from documents left join n using (doc_id) join r on r.node = doc_id group by doc_id""",
+    # The tables have neither canonical links nor redirects, so no aliases enter here.
+    "op7_url_filter": r"""
+with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r(verdict, h, b) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f as (select page_id, arg_max(h || b, length(h || b)) as rule, arg_max(verdict, length(h || b)) as verdict from p join r on (host = h or host like '%.' || h) and starts_with(path, b) group by 1)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join f using (page_id)""",
+}
