@@ -40,7 +40,7 @@ def order_index(spark: SparkSession, sf_dir: str) -> Index:
     docs = orders.select("ns", "resource", F.concat(F.lit("o"), F.col("o_orderkey")).alias("head"), F.concat(F.lit("/r/schemas/order/rev/"), F.col("o_orderstatus")).alias("schema"))
     lines = table(spark, sf_dir, "lineitem").withColumns({"ns": F.lit("orders"), "resource": F.lpad(F.col("l_orderkey").cast("string"), 10, "0")})
     facet = lambda rows, path, column: rows.select("ns", "resource", F.lit(path).alias("path"), F.col(column).alias("value"), F.to_json(F.array(column)).alias("raw"))
-    facets = facet(orders, "/status", "o_orderstatus").union(facet(orders, "/priority", "o_orderpriority")).union(facet(lines, "/flags", "l_returnflag").dropDuplicates(["resource", "value"]))
+    facets = facet(orders, "/status", "o_orderstatus").union(facet(orders, "/priority", "o_orderpriority")).union(facet(lines.select("ns", "resource", "l_returnflag").distinct(), "/flags", "l_returnflag"))
     sorts = (
         sort_rows(orders, "/price", number=F.col("o_totalprice"))
         .union(sort_rows(orders, "/date", text=F.date_format("o_orderdate", "yyyy-MM-dd")))
