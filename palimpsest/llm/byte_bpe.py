@@ -9,16 +9,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words whose ids a Python worker remembers from batch to batch, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+from palimpsest.llm.text import text_batches
+
+#: Distinct words whose ids a Python worker remembers in each of two generations, and the longest of them. When the
+#: younger one is full, the older one is forgotten but for what was used since.
+REMEMBERED, LONGEST = 80_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -31,19 +35,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: the adjacent pair of the lowest rank (the leftmost of equals) is merged until none has a rank.
 
-    Short words scan all pairs at each merge; long ones keep pairs in a heap, so that a word of n bytes takes
-    n log n steps. A byte that the vocabulary lacks raises KeyError.
+    Words of up to 100 bytes keep a list of their pairs' ranks and look for its least; longer ones keep pairs in a heap,
+    so that a word of n bytes takes n log n steps. A byte that the vocabulary lacks raises KeyError.
     """
     if (whole := ranks.get(word)) is not None:
         return [whole]
-    if len(word) <= 48:
+    if len(word) <= 100:
+        none = len(ranks) + 1
         parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            found = [(rank, i) for i in range(len(parts) - 1) if (rank := ranks.get(parts[i] + parts[i + 1])) is not None]
-            if not found:
-                break
-            _, i = min(found)
+        pairs = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
         return [ranks[p] for p in parts]
     n = len(word)
     after, before, end, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -73,14 +81,17 @@ def _encoded(path: str, pattern: str, keep_ids: bool):
         ranks, match = load_ranks(path), regex.compile(pattern)
         pieces = {rank: piece for piece, rank in ranks.items()}
         known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        older: dict[str, tuple[int, str, bytes, list[int]]] = {}
 
         def of(word: str) -> tuple[int, str, bytes, list[int]]:
             """Number of ids, their decimal text, the bytes they decode to, and the ids."""
-            ids = merge_word(word.encode(), ranks)
-            found = (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]), ids if keep_ids else [])
+            nonlocal known, older
+            if (found := older.get(word)) is None:
+                ids = merge_word(word.encode(), ranks)
+                found = (len(ids), ",".join(map(str, ids)), b"".join([pieces[i] for i in ids]), ids if keep_ids else [])
             if len(word) <= LONGEST:
                 if len(known) >= REMEMBERED:
-                    known.clear()
+                    known, older = {}, known
                 known[word] = found
             return found
 
@@ -114,6 +125,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     One pass without a shuffle: within a worker each distinct word is merged once (as long as it is remembered), so
     the cost of a text is a dictionary lookup per word, and nothing but the current batch is held.
     """
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
@@ -134,32 +146,34 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", out_col: st
     return encoded.withColumn(out_col, joined(F.col(ids_col)))
 
 
-def rank_buckets(ranks: Iterable[tuple[bytes, int]], n: int = 4096) -> Column:
-    """A literal rank map: n small maps, of which a piece's crc32 picks one, since a map's entries are searched in turn."""
-    import zlib
-
-    maps: list[list[str]] = [[] for _ in range(n)]
+def rank_table(spark: SparkSession, ranks: Iterable[tuple[bytes, int]], n: int = 4096) -> DataFrame:
+    """One row, (one = 1, ranks): n small maps, of which a piece's crc32 picks one, since a map's entries are searched in turn."""
+    maps: list[dict[bytes, int]] = [{} for _ in range(n)]
     for piece, rank in ranks:
-        maps[zlib.crc32(piece) % n].append(f"X'{piece.hex()}',{rank}")
-    return F.expr("array(" + ",".join(f"map({','.join(m)})" if m else "cast(map() as map<binary,int>)" for m in maps) + ")")
+        maps[zlib.crc32(piece) % n][piece] = rank
+    return spark.createDataFrame([(1, maps)], "one int, ranks array<map<binary,int>>")
 
 
-def merged_by_fold(word: Column, buckets: Column, n: int = 4096) -> Column:
-    """Ids of a word (string column) by Spark's higher-order functions alone; for tables of distinct short words.
+def folded_words(words: DataFrame, rank_file: str, word_col: str = "word") -> DataFrame:
+    """words with ids, by Spark's higher-order functions alone; for tables of distinct short words.
 
-    aggregate() folds a merge at a time over the array of byte strings. The number of steps is the square of the
-    word's length, and each step evaluates lambdas row by row, see the README for its cost.
+    aggregate() folds a merge at a time over the array of byte strings, with ranks from a literal map of the vocabulary
+    (one row, whose size the vocabulary bounds). The number of steps is the square of the word's length, and each
+    evaluates lambdas row by row; see the README for its cost. A null word has no ids.
     """
-    rank = lambda p: F.element_at(F.element_at(buckets, (F.crc32(p) % n + 1).cast("int")), p)
-    raw = F.encode(word, "UTF-8")
-    parts = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
+    spark = words.sparkSession
+    table = F.broadcast(rank_table(spark, load_ranks(rank_file).items()))
+    rows = words.withColumn("one", F.lit(1)).join(table, "one")
+    raw = F.encode(F.coalesce(F.col(word_col), F.lit("")), "UTF-8")
+    rows = rows.withColumn("bytes", raw).withColumn("parts", F.when(F.octet_length("bytes") > 0, F.transform(F.sequence(F.lit(1), F.octet_length("bytes")), lambda i: F.substring("bytes", i, F.lit(1)))).otherwise(F.array().cast("array<binary>")))
+    rank = lambda p: F.try_element_at(F.get("ranks", (F.crc32(p) % 4096).cast("int")), p)
 
     def step(acc: Column, _: Column) -> Column:
-        ranked = F.transform(F.sequence(F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))), lambda i: F.when(i < F.size(acc), F.struct(rank(F.concat(F.get(acc, i - 1), F.get(acc, i))).alias("r"), i.alias("i"))))
-        best = F.array_min(F.filter(ranked, lambda x: x["r"].isNotNull()))
-        at = best["i"]
-        merged = F.concat(F.slice(acc, F.lit(1), at - 1), F.array(F.concat(F.get(acc, at - 1), F.get(acc, at))), F.slice(acc, at + 2, F.size(acc)))
-        return F.when(best.isNull(), acc).otherwise(merged)
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - 1, F.lit(1))), parts, step)
-    return F.when(F.octet_length(raw) > 0, F.transform(folded, rank)).otherwise(F.array().cast("array<int>"))
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))), lambda i: F.struct(rank(F.concat(F.get(acc, i - 1), F.coalesce(F.get(acc, i), F.lit(b"")))).alias("r"), F.when(i < F.size(acc), i).alias("i")))
+        best = F.array_min(F.filter(pairs, lambda x: x["r"].isNotNull() & x["i"].isNotNull()))
+        # The least pair is found once and handed on as the only element of an array.
+        merge = lambda b: F.when(b.isNull(), acc).otherwise(F.concat(F.slice(acc, F.lit(1), b["i"] - 1), F.array(F.concat(F.get(acc, b["i"] - 1), F.get(acc, b["i"]))), F.slice(acc, b["i"] + 2, F.size(acc))))
+        return F.get(F.transform(F.array(best), merge), F.lit(0))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length("bytes") - 1, F.lit(1))), F.col("parts"), step)
+    return rows.withColumn("ids", F.transform(folded, rank)).select(*words.columns, "ids")

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.text import durable
+from palimpsest.llm.text import durable, hinted
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
+def _apart(least: DataFrame) -> DataFrame:
+    """Nodes' minima, written: a join then deals both sides anew (or broadcasts few rows) and can split a hot node."""
+    return hinted(durable(least))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the undirected edges (u, v); root is the least node that can be reached.
 
@@ -32,10 +37,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
         # Larger neighbours onto the least of the neighbourhood.
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        links = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        links = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Smaller neighbours (and the node itself) onto the least.
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = _apart(links.groupBy("u").agg(F.min("v").alias("m")))
         links = (
             links.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))

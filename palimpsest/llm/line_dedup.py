@@ -96,6 +96,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = durable(words)
     near = durable(near_lines(words).select("line").distinct())
     gone = lines.join(near.withColumn("near", F.lit(True)), "line", "left").where("near or m > 1").select("line", "place", F.coalesce("near", F.lit(False)).alias("near"))
+    # Written, so that the join deals both sides anew and a line that a third of the documents have can be split.
+    gone = hinted(durable(gone))
     return found.join(gone, "line").where(F.col("near") | (F.struct("doc", "copy", "at") != F.col("place"))).select("doc", "copy", "at")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from palimpsest.llm.components import components
-from palimpsest.llm.text import ascii_lower, durable, hinted, spaced
+from palimpsest.llm.text import ascii_lower, durable, hinted, spaced, text_batches
 
 #: 36 bands of 6 values, that is of the minimum and maximum of 3 permutations: a pair of similarity 0.8 shares no band
 #: with probability (1 - 0.8 ** 6) ** 36 < 2e-5.
@@ -30,6 +30,8 @@ SLACK = 0.2
 BLOCK = 1024
 #: Groups up to this size share a task.
 SMALL = 64
+#: Bytes of texts whose words a Python worker holds at once (one longer text is held whole).
+SLICE = 2_000_000
 
 _random = np.random.default_rng(20240229)
 _A = _random.integers(1, 2**63, BANDS * PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,6 +50,15 @@ def shingle_sets(words: pa.Array, width: int) -> Iterator[np.ndarray]:
 
     A text of fewer words than width has its whole sequence as the only one; one without words (or null) has none.
     """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(words), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(words):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE)))
+        yield from _shingle_sets(words.slice(start, stop - start), width)
+        start = stop
+
+
+def _shingle_sets(words: pa.Array, width: int) -> Iterator[np.ndarray]:
     lists = pc.split_pattern(pc.fill_null(words, ""), " ")
     flat = lists.flatten().dictionary_encode()
     table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
@@ -146,7 +157,7 @@ def _confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
     column, owner = column[order], owner[order]
     a, b = (np.flatnonzero(side < 1), np.flatnonzero(side < 1)) if (side < 0).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     inter = np.zeros((len(a), len(b)), np.float32)
-    step = 4096
+    step = 1024
     total = int(column[-1]) + 1 if len(column) else 0
     for first in range(0, total, step):
         low, high = np.searchsorted(column, [first, first + step])
@@ -176,6 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates tie texts into groups; groups (not buckets) are compared block by block, whole, so any number of near
     copies is handled exactly and no task holds more than two blocks.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), spaced(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("words")).withColumn("node", F.xxhash64("words"))
     signed = durable(rows.mapInArrow(_signed(width), "id long, node long, n_shingles long, sketch binary, bands array<long>"))
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))

@@ -14,7 +14,7 @@ from palimpsest.llm.text import durable, hinted, n_spaced, spaced
 #: The sequence's modulus and multiplier: the odd number nearest to 2 ** 31 over the golden ratio.
 MODULUS, GOLDEN = 2**31, 1_327_217_885
 #: Slots, and documents, whose order is settled within one task.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 #: Sources, at most: their totals are the only thing that reaches the driver.
 MOST_SOURCES = 100_000
 
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the rows alone, so reruns agree.
 
     Documents are shuffled by a hash of their text and id. Their places in the source's stream of words, and the slots'
-    ranks in their source, are sums over chunks of about 65,536 plus sums within a chunk, so that no source, however
+    ranks in their source, are sums over chunks of about 4,096 plus sums within a chunk, so that no source, however
     large, is ordered in one task. Blocks and slots then meet by (source, block).
     """
     words = n_spaced(spaced(F.coalesce(F.col(text_col), F.lit("")))).cast("long")
@@ -116,7 +116,7 @@ def slots_by_block(spark, goal: list[float], n_blocks: list[int], n_slots: int)
 
     t = F.col("id").bitwiseAND(F.lit(MODULUS - 1))
     point = ((t * GOLDEN + MODULUS // 2) % MODULUS).cast("double") / MODULUS
-    slots = spark.range(n_slots).select("id", F.shiftright("id", 16).alias("chunk"), source_of(point).alias("k"))
+    slots = spark.range(n_slots).select("id", F.floor(F.col("id") / CHUNK).alias("chunk"), source_of(point).alias("k"))
     counts = slots.groupBy("k", "chunk").agg(F.count("*").alias("n"))
     base = F.sum("n").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("k", "chunk", F.coalesce(base, F.lit(0)).alias("base"))

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.text import text_batches
+
 FEATURES = (
     "log_words", "word_length", "letters", "upper", "symbols", "marks", "digits", "blanks", "distinct_words", "top_word",
     "repeated_lines", "words_a_line", "marked_words", "entropy", "repeated_pairs", "common_words",
@@ -66,6 +68,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _as_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
@@ -219,6 +222,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores threshold or more; all columns stay."""
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(texts):  # noqa: ANN001, ANN202
         import pandas as pd

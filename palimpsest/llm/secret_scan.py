@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.text import text_batches
+
 #: The base kinds and their order; the method's kinds follow them.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh")
 #: Patterns of the base kinds.
@@ -172,6 +174,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts have no spans. A null id stays null, repeated rows give repeated results, other columns aren't
     read, and an empty table gives an empty one. A single pass, without a shuffle.
     """
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = f"_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int>>"

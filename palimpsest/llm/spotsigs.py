@@ -10,19 +10,23 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from palimpsest.llm.text import durable
+from palimpsest.llm.text import durable, text_batches
 
 #: Common words (anchors), which are not content words either.
 ANCHORS = frozenset("a an the of and to in is was are be it that this for on with as at by from he she they we en de la el los las que y un una por con se del al le les des du et est dans au der die das und ein eine zu den dem mit von für auf im ist".split())
 #: Content words in a chain, and the step between them: every DISTANCE-th content word after the anchor.
 CHAIN, DISTANCE = 2, 1
-#: Rows that one range of ids is meant to hold.
-RANGE = 20_000
+#: Rows that one range of ids is meant to hold, and ranges at most: beyond, ranges grow, which sort through the disk.
+RANGE, MOST_RANGES = 4_000, 16_384
+#: Rows whose texts are unpacked at once.
+SLICE = 500
 
 
 def signatures(text: str) -> np.ndarray:
@@ -71,7 +75,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.clear()
         return out
 
-    for rows in batches:
+    for rows in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
         for place, guard, id_, text in zip(*(rows.column(n).to_pylist() for n in ("range", "guard", "id", "text")), strict=True):
             if before and before[0] == place and not before[1]:
                 _, _, own_id, own_text, own = before
@@ -100,26 +104,29 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows of one id stay in one range: ids are meant to be nearly unique.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text_batches(docs.sparkSession)
     n = rows.count()
-    ids = rows.select(F.col("id").cast("double").alias("x"))
-    parts = n // rows_in_range + 1
-    cuts = sorted(set(ids.approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    # Ranges are numbered in the order of descending ids.
-    cut = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("id").cast("double") <= c)) if cuts else F.lit(0)
-    heads = {r["range"]: r["head"] for r in rows.groupBy(cut.alias("range")).agg(F.max("id").alias("head")).collect()}
+    parts = min(n // rows_in_range + 1, MOST_RANGES)
+    cuts = np.unique(rows.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts)) if parts > 1 else np.zeros(0)
+
+    @F.pandas_udf(IntegerType())
+    def range_of(ids: pd.Series) -> pd.Series:
+        # Ranges are numbered in the order of descending ids.
+        return pd.Series((len(cuts) - np.searchsorted(cuts, ids.to_numpy().astype(np.float64), side="right")).astype(np.int32))
+
+    heads = {r["range"]: r["head"] for r in rows.groupBy(range_of("id").alias("range")).agg(F.max("id").alias("head")).collect()}
     order = sorted(heads)
-    # The first row of a range also ends the range before it.
-    guards = [(heads[r], order[k - 1]) for k, r in enumerate(order)]
-    ends = F.lit(None).cast("int")
-    by_id = dict(guards)
-    if guards:
-        table = F.create_map(*(F.lit(x) for pair in by_id.items() for x in pair)) if len(guards) <= 64 else None
-        if table is not None:
-            ends = F.element_at(table, F.col("id"))
-        else:
-            heads_ = [h for h, _ in guards]
-            ends = F.get(F.array(*(F.lit(r) for _, r in guards)), F.array_position(F.array(*map(F.lit, heads_)), F.col("id")).cast("int") - 1)
-    places = F.array(F.struct(cut.alias("range"), F.lit(False).alias("guard")), F.when(ends.isNotNull(), F.struct(ends.alias("range"), F.lit(True).alias("guard"))))
+    # The first row of a range also ends the range before it; the first of all ends the last.
+    first = np.array([heads[r] for r in order], np.int64)[::-1]
+    ends_range = np.array([order[k - 1] for k in range(len(order))], np.int32)[::-1]
+
+    @F.pandas_udf(IntegerType())
+    def ended_by(ids: pd.Series) -> pd.Series:
+        at = np.minimum(np.searchsorted(first, ids.to_numpy()), len(first) - 1)
+        return pd.Series(ends_range[at]).where(first[at] == ids.to_numpy()).astype("Int32")
+
+    rows = rows.select("id", "text", range_of("id").alias("own"), (ended_by("id") if order else F.lit(None).cast("int")).alias("ended"))
+    places = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guard")), F.when(F.col("ended").isNotNull(), F.struct(F.col("ended").alias("range"), F.lit(True).alias("guard"))))
     spread = rows.select("id", "text", F.explode(places).alias("p")).where("p is not null").select("p.*", "id", "text")
     n_tasks = max(1, len(order))
     sorted_ = spread.repartition(n_tasks, "range").sortWithinPartitions("range", "guard", F.desc("id"), F.xxhash64("text"), "text")
@@ -140,6 +147,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [signatures(t).astype(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "sigs"])
 
+    text_batches(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(signed, "id long, sigs array<long>")
     sets = durable(rows.where(F.size("sigs") > 0).groupBy("sigs").agg(F.min("id").alias("id")).select("id", "sigs", F.size("sigs").alias("n")))
     spots = sets.select("id", "n", F.explode("sigs").alias("sig"))

@@ -55,3 +55,13 @@ def hinted(small: DataFrame, most_rows: int = 100_000) -> DataFrame:
     For narrow frames that are cheap to count (checkpointed ones, as a rule).
     """
     return F.broadcast(small) if small.count() <= most_rows else small
+
+
+def text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """From now on the session hands Python at most so many rows at once.
+
+    Texts are wide: at the default of 10,000 rows a batch of long ones takes a worker's memory several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

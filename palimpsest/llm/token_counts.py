@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.text import text_batches
+
 #: Pre-tokens whose counts a Python worker remembers from batch to batch.
 REMEMBERED = 400_000
 #: Characters of texts that are split at once.
@@ -105,6 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     pre-tokens, each distinct pre-token (that the worker doesn't remember) is split into pieces once, and the sums come
     from joining the two by dictionary code. No id of a text's tokens is ever made.
     """
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text"))

@@ -51,3 +51,25 @@ def test_run_and_registration(spark, sf_dir):
     assert "pipeline" in __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in __spark_entry__.queries()}
     assert corpus_pipeline.run(spark, sf_dir).count() > 50
+
+
+EXTRA = ["words", "node", "id", "u", "copy", "line", "at", "score", "taken", "size", "k", "_text", "_gone", "n_lines", "range"]
+
+
+def test_stages_take_nulls_and_clashing_columns(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    long = " ".join(f"long{i % 977} of" for i in range(30_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "en", None, None), (3, long, "en", "s", len(long)), (4, long, None, "s", len(long)), (4, long, None, "s", len(long)), (5, "The one and only. " * 3, "en", None, 54), (None, "a b c", "en", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
+    docs = spark.createDataFrame([(*r, *EXTRA) for r in rows], schema)
+    for given in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, given, sf_dir)
+            got = out.collect()
+            assert k == 4 or out.columns == docs.columns
+            assert k in (0, 3) or given is docs or got == []
+            if k < 4 and given is docs:
+                assert all(tuple(r[c] for c in EXTRA) == tuple(EXTRA) for r in got)
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, sf_dir).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "5", "None", "None"]
+    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, sf_dir).collect() if r.doc_id == 4} == {}
