@@ -171,6 +171,49 @@ def _confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
     return _forest(i[ok].tolist(), j[ok].tolist(), len(sets))
 
 
+def _tied(sketches: list[bytes], root: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A forest of the pairs of sketches, of different roots and sides (-1: one block), whose estimate is least or more."""
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    one = (side < 0).all()
+    a, b = (np.arange(len(x)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    same = np.zeros((len(a), len(b)), np.uint8)  # of 2 * BANDS * PERMUTATIONS = 216 values
+    columns = np.ascontiguousarray(x.T)
+    for values in columns:
+        same += values[a][:, None] == values[b][None, :]
+    i, j = np.nonzero(((same / x.shape[1] * 256 - 1) / 255 >= least) & (root[a][:, None] != root[b][None, :]))
+    i, j = a[i], b[j]
+    ok = i < j if one else np.ones(len(i), bool)
+    return _forest(i[ok].tolist(), j[ok].tolist(), len(x))
+
+
+def _across(members: DataFrame, sketches: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between the roots of the groups found that meet in a bucket, for every two of its members estimated at least so.
+
+    members: (band, node, hub, n) without the hubs, which have met all of their bucket. A bucket of one group needs no
+    more links, and of buckets with the same members one is enough. Large ones are compared block by block.
+    """
+    placed = members.where("n > 2").select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    placed = durable(placed)
+    buckets = placed.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("root").alias("low"), F.max("root").alias("high"))
+    buckets = buckets.where("low < high").groupBy("mark", "m").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_blocks"), "m")
+    placed = placed.join(hinted(durable(buckets), 20_000), "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
+    tasks = (
+        F.when(F.col("m") <= SMALL, F.array(F.struct(F.lit(True).alias("shared"), F.pmod(F.xxhash64("band"), F.lit(4096)).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"))))
+        .otherwise(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.lit(False).alias("shared"), F.col("band").alias("at"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
+    )
+    placed = placed.join(sketches, "node").select("band", "node", "root", "block", "sketch", F.explode(tasks).alias("t")).select("band", "node", "root", "block", "sketch", "t.*")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, part in rows.groupby("band", sort=False):
+            root = part["root"].to_numpy()
+            side = np.full(len(part), -1) if key[0] or key[2] == key[3] else (part["block"].to_numpy() == key[3]).astype(int)
+            out += [(root[i], root[j]) for i, j in _tied(part["sketch"].tolist(), root, side, least)]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return placed.groupBy("shared", "at", "i", "j").applyInPandas(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: (id_col, n_shingles, component_id, kept).
 
@@ -184,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal word sequences are one node from the start, however many rows have them, so copies are never paired. Other
     columns of docs are not read. An empty table gives an empty one.
 
-    Candidates tie texts into groups; groups (not buckets) are compared block by block, whole, so any number of near
+    Any two texts of a band's bucket are candidates: all are held against the bucket's least one, and then those that are
+    still in different groups against each other. Candidates tie texts into groups; groups (not buckets) are compared block by block, whole, so any number of near
     copies is handled exactly and no task holds more than two blocks.
     """
     text_batches(docs.sparkSession)
@@ -193,16 +237,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = durable(nodes)
     spots = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = spots.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    pairs = durable(spots.join(hubs, "band").where("node <> hub").select("hub", "node").distinct())
+    hubs = spots.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    members = durable(spots.join(hubs, "band").where("node <> hub"))
     sketches = nodes.select("node", "sketch")
     near = (
-        pairs.join(sketches.withColumnsRenamed({"node": "hub", "sketch": "a"}), "hub")
+        members.select("hub", "node")
+        .distinct()
+        .join(sketches.withColumnsRenamed({"node": "hub", "sketch": "a"}), "hub")
         .join(sketches.withColumnRenamed("sketch", "b"), "node")
         .where(_estimate("a", "b") >= percent / 100 - SLACK)
         .select(F.col("hub").alias("u"), F.col("node").alias("v"))
     )
     groups = durable(components(near))
+    # Links between groups are few, so groups are joined by their roots.
+    tops = durable(components(_across(members, sketches, groups, percent / 100 - SLACK)).withColumnsRenamed({"node": "of", "root": "top"}))
+    alone = tops.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("top").alias("root"))
+    groups = durable(groups.join(tops, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).union(alone))
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
     placed = groups.join(sizes, "root").join(nodes.select("node", "id"), "node").withColumn("n_blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     # Small groups share tasks; of a large one, each block meets each other block and itself.

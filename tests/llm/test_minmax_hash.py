@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from palimpsest.llm import minmax_hash
@@ -65,6 +66,23 @@ def test_large_group_is_compared_block_by_block(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("block", [1024, 100])
+def test_stubs_of_a_template_meet_behind_other_pages(spark, monkeypatch, block):
+    monkeypatch.setattr(minmax_hash, "BLOCK", block)
+    monkeypatch.setattr(minmax_hash, "SMALL", min(block, 64) // 32)
+    template = " ".join(f"a{i}" for i in range(100))
+    page = lambda name, n: " ".join([template, *(f"{name}_{k}" for k in range(n))])
+    node = lambda text: (xxhash.xxh64_intdigest(text, 42) + 2**63) % 2**64
+    # Two stubs that come after the pages in the order of hashes, so that no bucket with a page has one of them as its hub.
+    stubs = sorted((page(f"s{i}", 11) for i in range(5000)), key=node)[-2:]
+    pages = sorted((page(f"p{i}", 100) for i in range(820)), key=node)[:800]
+    assert min(map(node, stubs)) > max(map(node, pages))
+    rows = list(enumerate(stubs + pages))
+    got = minmax_hash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    want = brute(rows, 2, 80)
+    assert (1, 110, 0, False) in want and {tuple(r) for r in got.collect()} == want
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "a b"), (6, "a b"), (7, "A  B"), (None, "a\nb"), (8, "word " * 30_000), (9, "word " * 30_000)]
     docs = spark.createDataFrame([(a, b, "x", "y") for a, b in rows], SCHEMA)
