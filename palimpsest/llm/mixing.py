@@ -6,7 +6,7 @@ of its source, and a source's blocks are cut from its documents in shuffled orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.text import durable, hinted, n_spaced, spaced
@@ -46,8 +46,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per row of docs: (id_col, size, source_size, target, taken).
 
     size is the number of words (null and empty texts: 0), source_size and target are the source's, taken is how many
-    of the document's words the mix takes, repeats counted: 0 to 2 times its size. A source's taken words differ from
-    its target by the schedule's discrepancy, a few blocks of `block` words at most. Documents without words are taken
+    of the document's words the mix takes, repeats counted: 0 to 2 times its size. What a source's slots miss or exceed
+    of its target (the schedule's discrepancy, a last block of fewer words, no slot at all) is settled where its slots
+    end in its shuffled stream, so its taken words are its target to the nearest whole. Documents without words are taken
     0 times. A null source is a source of its own, after all others; a null id stays null; repeated rows are documents
     of their own with the same claims; other columns aren't read; an empty table gives an empty one. Results depend on
     the rows alone, so reruns agree.
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = targets(sizes, weights, share)
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
     spark = docs.sparkSession
-    table = spark.createDataFrame([(k, s, sizes[s], goal[s], max(1, -(-sizes[s] // block)), -(-n_docs[s] // CHUNK)) for k, s in enumerate(order)], "k int, name string, source_size long, target double, n_blocks long, n_chunks long")
+    table = spark.createDataFrame([(k, s, sizes[s], goal[s], max(1, -(-sizes[s] // block)), -(-n_docs[s] // CHUNK), min(round(goal[s]), 2 * sizes[s])) for k, s in enumerate(order)], "k int, name string, source_size long, target double, n_blocks long, n_chunks long, whole long")
     # Bounded by MOST_SOURCES rows of a few numbers; a larger table is joined by a shuffle.
     table = hinted(table, 20_000)
     rows = rows.join(table, F.col("source").eqNullSafe(F.col("name")))
@@ -83,14 +84,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Slots: the t-th point of the sequence falls into a source's part of the cumulative weights.
     total = sum(goal.values())
     n_slots = round(total / block)
-    taken = slots_by_block(spark, [goal[s] for s in order], [max(1, -(-sizes[s] // block)) for s in order], n_slots)
-    segments = placed.where("size > 0").select(
-        "id", "k", "start", "size", "source_size", "target", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("b")
-    )
+    taken = durable(slots_by_block(spark, [goal[s] for s in order], [max(1, -(-sizes[s] // block)) for s in order], n_slots))
+    doc = ["id", "k", "start", "size", "source_size", "target", "whole"]
+    segments = placed.where("size > 0").select(*doc, F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("b"))
     met = segments.join(taken, ["k", "b"], "left")
     overlap = F.least((F.col("b") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("b") * block, F.col("start"))
-    with_words = met.groupBy("id", "k", "start", "size", "source_size", "target").agg(F.sum(overlap * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    without = placed.where("size = 0").select("id", "k", "start", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    with_words = met.groupBy(*doc).agg(F.sum(overlap * F.coalesce("times", F.lit(0))).cast("long").alias("slotted"))
+
+    # Slots take a source's blocks in order, so they end after `ended` words of its stream, told twice; the target does
+    # after `whole`. The words between are added or taken away.
+    block_words = F.least((F.col("b") + 1) * block, F.col("source_size")) - F.col("b") * block
+    ended = taken.join(table.select("k", "source_size"), "k").groupBy("k").agg(F.sum(block_words * F.col("times")).alias("ended"))
+    with_words = with_words.join(hinted(durable(ended), 20_000), "k", "left").withColumn("ended", F.coalesce("ended", F.lit(0)))
+
+    def within(end: str) -> Column:
+        once, again = (F.least(F.greatest(F.col(end) - first - F.col("start"), F.lit(0)), F.col("size")) for first in (F.lit(0), F.col("source_size")))
+        return once + again
+
+    with_words = with_words.select(*doc, (F.col("slotted") + within("whole") - within("ended")).cast("long").alias("taken"))
+    without = placed.where("size = 0").select(*doc, F.lit(0).cast("long").alias("taken"))
     return with_words.union(without).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
@@ -133,7 +145,7 @@ def slots_by_block(spark, goal: list[float], n_blocks: list[int], n_slots: int)
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents of the mix, with the columns of docs: each as often as its taken words fill it, to the nearest whole.
 
-    A source's slots take its blocks in order, so but for the one document that a source's last block cuts, documents
+    A source's slots take its blocks in order, so but for the one document in which a source's target ends, documents
     are taken a whole number of times, and rounding moves a source by half of that document at most. Documents of
     equal id and size are taken alike. Documents without words aren't taken.
     """

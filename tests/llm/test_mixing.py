@@ -41,6 +41,20 @@ def test_sources_come_near_their_targets(docs, chunk, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_small_sources_beside_a_hot_one_meet_their_targets(spark):
+    sizes = {f"s{i}": 101 + 13 * i for i in range(60)}
+    rows = [(i, "w " * 1000, "hot") for i in range(900)] + [(1000 + i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    small = [r for r in mixing.mix(docs).collect() if r.doc_id >= 1000]
+    assert len(small) == 60 and all(abs(r.taken - r.target) <= 0.5 for r in small)
+    assert len({r.source for r in mixing.mixed(docs).select("source").distinct().collect()}) == 61
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert all(abs(taken[k] - t) <= 0.5 for k, t in target.items())
+
+
 def test_schedule_is_low_discrepancy(spark):
     goal = [5.0, 2.0, 1.0, 0.0]
     got = Counter()
