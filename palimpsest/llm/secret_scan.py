@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -24,12 +25,20 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Runs that may hold a structure: three dotted url-safe parts, armoured blocks, base64 and hex.
-SIGNED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
+SIGNATURE = re.compile(r"\.[A-Za-z0-9_-]{16,}")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Lines of base64 that follow one another are one run.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}+={0,2}(?:[\x20\t]*+(?:\r?\n|\\r\\n|\\n)[\x20\t]*+[A-Za-z0-9+/_-]++={0,2})*+")
+BASE64_PART = re.compile(r"[A-Za-z0-9+/_-]+")
+LINE_END = re.compile(r"\r?\n|\\r\\n|\\n")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
-#: First characters of base64 that holds a DER sequence of over 127 bytes or under, or an OpenSSH key.
-BASE64_STARTS = ("MI", "MH", "MG", "MF", "ME", "MD", "MC", "MB", "b3BlbnNzaC1rZXktdjEA")
+#: Where, within a run, a DER sequence, an OpenSSH key or armour may begin.
+BASE64_STARTS = re.compile(r"(?=M[B-I]|b3BlbnNzaC1rZXktdjEA|LS0t)")
+HEX_STARTS = re.compile(r"(?=30|6f70656e7373682d6b65792d7631|2d2d2d2d2d)", re.I)
+HEADER_STARTS = re.compile(r"(?=e[w-z0-9])")
+#: Encodings within encodings that are followed.
+LAYERS = 4
 #: Structures deeper than this aren't keys.
 DEEPEST = 12
 
@@ -121,28 +130,138 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)]
 
 
-def structured_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans of candidates that decode to a key or a signed token."""
+def _key_at(data: bytes) -> tuple[str, int] | None:
+    """(kind, bytes) of the key that data begins with."""
+    if data[:1] == b"\x30" and (x := _length(data, 0)) and der_key(data[: x[1]]):
+        return "der", x[1]
+    if openssh_key(data):
+        at = len(b"openssh-key-v1\0")
+        for _ in range(3):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        for _ in range(n + 1):  # public keys, then the private part
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return "openssh", min(at, len(data))
+    return None
+
+
+def _der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins with head; None if it can't be a key."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4:
+        return None
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    for m in DOTTED.finditer(text):
+        parts, starts, at = m[0].split("."), [], m.start()
+        for part in parts:
+            starts.append(at)
+            at += len(part) + 1
+        for i, (head, body, tail) in enumerate(zip(parts, parts[1:], parts[2:], strict=False)):
+            if len(head) < 8 or len(body) < 2 or len(tail) < 16:
+                continue
+            for k in [0, *(x.start() for x in HEADER_STARTS.finditer(head) if x.start())]:
+                if (k == 0 or _decoded(head[k : k + 4])[1:2] in (b'"', b" ", b"\n", b"\r", b"\t")) and signed_token(f"{head[k:]}.{body}.{tail}"):
+                    yield starts[i] + k, starts[i + 2] + len(tail)
+                    break
+
+
+def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(characters without line ends and padding, (first character, place in the text) of its lines) of base64 runs."""
+    for m in BASE64.finditer(text):
+        lines, chars, n = [], [], 0
+        for x in BASE64_PART.finditer(text, m.start(), m.end()):
+            part, at = x[0], x.start()
+            if part[:1] in "nr" and lines and text[at - 1] == "\\":  # an escaped line end
+                part, at = part[1:], at + 1
+            if part:
+                lines.append((n, at))
+                chars.append(part)
+                n += len(part)
+            if text[x.end() : x.end() + 1] == "=" and n >= 40:  # padding ends what is encoded
+                yield "".join(chars), lines
+                lines, chars, n = [], [], 0
+        if n >= 40:
+            yield "".join(chars), lines
+
+
+def structured_spans(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
+    """Spans of candidates that decode to a key or a signed token.
+
+    Long base64 and hex runs are decoded from every place where a key or armour may begin and as a whole, and what they
+    decode to is searched again; a find in there has the span of the run, from that place on.
+    """
     found, covered = [], []
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in SIGNED.finditer(text) if signed_token(m[0])]
+    if SIGNATURE.search(text):
+        found += [(a, b, "jwt") for a, b in _tokens(text)]
     if "PRIVATE KEY-----" in text:
         for m in ARMOUR.finditer(text):
             data = _decoded(re.sub(r"\\n|\s", "", m[2]))
             if der_key(data) or openssh_key(data):
                 found.append((m.start(), m.end(), "pem"))
                 covered.append((m.start(), m.end()))
-    free = lambda m: all(m.end() <= a or m.start() >= b for a, b in covered)
-    for m in BASE64.finditer(text):
-        if m[0].startswith(BASE64_STARTS) and free(m):
-            data = _decoded(m[0])
-            kind = "der" if der_key(data) else "openssh" if openssh_key(data) else ""
-            if kind:
-                found.append((m.start(), m.end(), kind))
+    free = lambda a, b: all(b <= c or a >= d for c, d in covered)
+
+    def within(data: bytes, a: int, b: int) -> None:
+        if layer < LAYERS:
+            for kind in dict.fromkeys(k for _, _, k in structured_spans(data.decode("latin-1"), layer + 1)):
+                found.append((a, b, kind))
+                covered.append((a, b))
+
+    for run, lines in _runs(text):
+
+        def place(k: int, lines: list[tuple[int, int]] = lines) -> int:
+            first, at = lines[bisect.bisect_right(lines, (k, len(text))) - 1]
+            return at + k - first
+
+        def end(k: int, place=place) -> int:  # noqa: ANN001
+            at = place(k - 1) + 1
+            return at + len(text[at : at + 2]) - len(text[at : at + 2].lstrip("="))
+
+        cut = lambda chars: _decoded(chars if len(chars) % 4 != 1 else chars[:-1])
+        starts = [x.start() for x in BASE64_STARTS.finditer(run)]
+        for k in starts:
+            if not free(place(k), place(k) + 1):
+                continue
+            if run[k] == "M":
+                n = _der_size(_decoded(run[k : k + 8]))
+                if n is None or n < 24 or k + (need := -(-n * 4 // 3)) > len(run):
+                    continue
+                if _key_at(_decoded(run[k : k + need])):
+                    found.append((place(k), end(k + need), "der"))
+                    covered.append(found[-1][:2])
+            elif run[k] == "b":
+                if key := _key_at(cut(run[k:])):
+                    found.append((place(k), end(k + -(-key[1] * 4 // 3)), "openssh"))
+                    covered.append(found[-1][:2])
+            else:
+                within(cut(run[k:]), place(k), end(len(run)))
+        if free(place(0), end(len(run))):
+            within(cut(run), place(0), end(len(run)))
     for m in ANY_HEX.finditer(text):
-        if m[0][:2] == "30" and len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "der"))
-    return found
+        run = m[0]
+        whole = lambda chars: bytes.fromhex(chars[: len(chars) // 2 * 2])
+        for k in (x.start() for x in HEX_STARTS.finditer(run)):
+            a = m.start() + k
+            if not free(a, a + 1):
+                continue
+            if run[k] == "3":
+                n = _der_size(whole(run[k : k + 12]))
+                if n and 24 <= n and k + 2 * n <= len(run) and _key_at(whole(run[k : k + 2 * n])):
+                    found.append((a, a + 2 * n, "der"))
+                    covered.append(found[-1][:2])
+            elif key := _key_at(whole(run[k:])):
+                found.append((a, a + 2 * key[1], key[0]))
+                covered.append(found[-1][:2])
+            else:
+                within(whole(run[k:]), a, m.end())
+        if free(m.start(), m.end()):
+            within(whole(run), m.start(), m.end())
+    return list(dict.fromkeys(found))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

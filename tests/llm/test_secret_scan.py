@@ -52,6 +52,22 @@ def test_candidates_are_confirmed():
     assert kinds(b64(ssh)) == [("openssh", b64(ssh))]
 
 
+def test_wrapped_nested_and_inner_candidates():
+    pem = f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)}\n-----END PRIVATE KEY-----\n"
+    run = b64(RSA)
+    assert kinds("tls.key: " + b64(pem.encode())) == [("pem", b64(pem.encode()))]
+    for before in ("path/", "key_", "-"):
+        assert kinds(before + run) == [("der", run)]
+    wrapped = "\n".join(run[i : i + 64] for i in range(0, len(run), 64))
+    assert kinds(f"see\n{wrapped}\nend of it") == [("der", wrapped)]
+    s = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(b"p" * 51) + s(b"q" * 100)
+    assert kinds(ssh.hex()) == [("openssh", ssh.hex())] and kinds(pem.encode().hex()) == [("pem", pem.encode().hex())]
+    good = token({"alg": "HS256"}, {"sub": "1"})
+    blank = base64.urlsafe_b64encode(b'\n {"alg":"HS256"}').decode().rstrip("=") + good[good.index(".") :]
+    assert kinds(blank) == [("jwt", blank)] and kinds("somewhere." + good) == [("jwt", good)] and kinds("token_" + good) == [("jwt", good)]
+
+
 def brute_base(text):
     out = []
     for kind, pattern, flags, group, least in (
