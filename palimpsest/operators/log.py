@@ -178,17 +178,21 @@ def undo_stack(gestures: DataFrame) -> DataFrame:
     """gestures (author, gesture, seq, undoes) with done: whether each is in force or undone, by parity of its undoers.
 
     The chain follows undoers by the same author, always the later one; an `undoes` that names no gesture of the author
-    is ignored. Chains are walked by one join for each step, as long as any is open.
+    is ignored. Each round doubles how far a gesture's end is known, so chains of any length take a logarithm of rounds.
     """
     own = gestures.select("author", "gesture", "seq", "undoes")
     known = own.select("author", F.col("gesture").alias("undoes")).distinct()
     undoer = own.join(known, ["author", "undoes"]).groupBy("author", "undoes").agg(F.max(F.struct("seq", "gesture")).alias("by")).select("author", F.col("undoes").alias("tip"), F.col("by.gesture").alias("next"))
-    walk = own.where("undoes is null").select("author", "gesture", F.col("gesture").alias("tip"), F.lit(0).alias("depth"))
-    done = walk.limit(0)
-    for _ in range(64):
-        step = walk.join(undoer, ["author", "tip"], "left")
-        done = done.union(step.where("next is null").select("author", "gesture", "tip", "depth"))
-        walk = durable(step.where("next is not null").select("author", "gesture", F.col("next").alias("tip"), (F.col("depth") + 1).alias("depth")))
-        if walk.isEmpty():
+    first = own.where("undoes is null").select("author", "gesture")
+    jump = durable(undoer.withColumn("hops", F.lit(1)))
+    for _ in range(30):
+        then = jump.select("author", F.col("tip").alias("next"), F.col("next").alias("far"), F.col("hops").alias("more"))
+        jump = jump.join(then, ["author", "next"], "left").select("author", "tip", F.coalesce("far", "next").alias("next"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("far").isNotNull().alias("open"))
+        jump = durable(jump)
+        if jump.where("open").join(first.select("author", F.col("gesture").alias("tip")), ["author", "tip"], "left_semi").isEmpty():
             break
-    return done.select("author", "gesture", "tip", "depth", (F.col("depth") % 2 == 0).alias("done"))
+    else:
+        raise RuntimeError("gestures undo each other in a circle")
+    ends = first.join(jump.select("author", F.col("tip").alias("gesture"), "next", "hops"), ["author", "gesture"], "left")
+    ends = ends.select("author", "gesture", F.coalesce("next", "gesture").alias("tip"), F.coalesce("hops", F.lit(0)).alias("depth"))
+    return ends.withColumn("done", F.col("depth") % 2 == 0)

@@ -52,6 +52,12 @@ def test_undo_stack(spark):
     assert got == {"g1": ("u3", False), "g2": ("u2", True)}
 
 
+def test_undo_stack_of_any_length(spark):
+    rows = [("bob", "g0", 0, None), *(("bob", f"g{i}", i, f"g{i - 1}") for i in range(1, 201)), ("eve", "a", 1, "b"), ("eve", "b", 2, "a")]
+    got = log.undo_stack(spark.createDataFrame(rows, "author string, gesture string, seq long, undoes string")).collect()
+    assert [tuple(r) for r in got] == [("bob", "g0", "g200", 200, True)]
+
+
 def test_chains(spark):
     df = spark.createDataFrame([("n", 1, "a", None), ("n", 2, "b", "a"), ("n", 4, "c", "b"), ("m", 1, "a", "z")], "ns string, seq long, id string, prev string")
     assert {(r.ns, r.seq) for r in log.linkage(df, ["ns"]).collect()} == {("n", 4), ("m", 1)}
