@@ -390,11 +390,10 @@ def followed_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log read as a stream into an index of deltas, under the shared checkpoint folder; then what it amounts to."""
     import uuid
 
-    from palimpsest.session import durable
+    from palimpsest.session import shared_folder
 
     events = tables.table(spark, sf_dir, "events")
-    durable(spark.range(1))  # the session has a checkpoint folder from here on
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/follow-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream takes no single file
     query = follow.follow(tables.as_log(stream), follow.upsert_to(f"{folder}/index"), f"{folder}/at", once=True)
     query.awaitTermination()
