@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.text import durable, hinted, n_spaced, spaced
+from palimpsest.llm.text import durable, n_spaced, spaced, unused
 
-#: Shorter lines (in words) are only compared for equality: one word would be too much of them.
-LEAST_WORDS = 8
+#: A line of n words may differ from an earlier one by n // WORDS_PER_EDIT words, one at most.
+WORDS_PER_EDIT = 8
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -78,9 +78,9 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.where(left == right).select("line", "partner")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """(doc, copy, at): the lines that go, by document (copy is the hash of its text) and number from 0."""
-    found = durable(_occurrences(docs, id_col, text_col).select("doc", "copy", "at", "line", F.when(F.col("n") >= least_words, _halves(F.col("words"), F.col("n"))).alias("keys")))
+    found = durable(_occurrences(docs, id_col, text_col).select("doc", "copy", "at", "line", F.when(F.col("n") >= words_per_edit, _halves(F.col("words"), F.col("n"))).alias("keys")))
     lines = found.groupBy("line").agg(F.min(F.struct("doc", "copy", "at")).alias("place"), F.first("keys").alias("keys"), F.count("*").alias("m"))
     lines = durable(lines)
     halves = lines.where("keys is not null").select("line", F.posexplode("keys").alias("k", "key"))
@@ -88,7 +88,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates = halves.join(shared, "key").groupBy("line").agg(F.bool_or(F.col("k") % 2 == 0).alias("head"), F.bool_or(F.col("k") % 2 == 1).alias("tail"))
     # The words of the candidates, from their first place.
     first = durable(lines.select("line", "place").join(candidates, "line").select("line", "place", "place.doc", "place.copy", "place.at", "head", "tail"))
-    of = hinted(first.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "line", "place", "head", "tail")).alias("wanted")).withColumnsRenamed({"doc": "__doc__", "copy": "__copy__"}))
+    of = durable(first.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "line", "place", "head", "tail")).alias("wanted")).withColumnsRenamed({"doc": "__doc__", "copy": "__copy__"}))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("_text"))
     texts = texts.join(of, F.col("doc").eqNullSafe(F.col("__doc__")) & (F.col("copy") == F.col("__copy__")))
     texts = texts.select(F.split("_text", "\n").alias("_lines"), "wanted").select("_lines", F.explode("wanted").alias("x"))
@@ -97,28 +97,30 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = durable(near_lines(words).select("line").distinct())
     gone = lines.join(near.withColumn("near", F.lit(True)), "line", "left").where("near or m > 1").select("line", "place", F.coalesce("near", F.lit(False)).alias("near"))
     # Written, so that the join deals both sides anew and a line that a third of the documents have can be split.
-    gone = hinted(durable(gone))
+    gone = durable(gone)
     return found.join(gone, "line").where(F.col("near") | (F.struct("doc", "copy", "at") != F.col("place"))).select("doc", "copy", "at")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """docs with text_col without its repeated and nearly repeated lines, and n_lines_dropped.
 
     Lines are what \\n separates; they are compared by their words (runs of non-space characters, as written). A line
-    goes if an earlier one has the same words, or if it has least_words words or more and an earlier one, of so many
-    too, is within one word's insertion, deletion or substitution, whether or not that one goes too. Earlier: by (id_col, hash of the text, number of the line), a null id first. Lines without words stay
-    as they are. Rows of equal id and text are one document and get the same text.
+    goes if an earlier one is within its edit bound, whether or not that one goes too. The bound of two lines is n //
+    words_per_edit words inserted, deleted or substituted, n being the words of the shorter one, and one at most: short
+    lines must be equal. Earlier: by (id_col, hash of the text, number of the line), a null id first. Lines without words
+    stay as they are. Rows of equal id and text are one document and get the same text.
 
-    A null text stays null and an empty one empty (0 lines dropped). Other columns stay as they are; one of the name
-    n_lines_dropped is replaced. An empty table gives an empty one.
+    A null text stays null and an empty one empty (0 lines dropped). Other columns stay as they are, whatever they are
+    called; one of the name n_lines_dropped is replaced. An empty table gives an empty one.
 
     Lines first meet by equality, then by half of their words, which all lines within one edit share; only what meets
     there is spelt out into variants. A variant's group is spoken for by its earliest line, so no pairs are emitted
     within a group, and groups are combined before the shuffle.
     """
-    gone = dropped_lines(docs, id_col, text_col, least_words).groupBy("doc", "copy").agg(F.collect_set("at").alias("__gone__"))
-    gone = gone.withColumnsRenamed({"doc": "__doc__", "copy": "__copy__"})
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc__")) & (F.xxhash64(docs[text_col]) == F.col("__copy__")), "left")
-    left = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.when(~F.array_contains("__gone__", i), x)), lambda x: x.isNotNull())
-    columns = [F.when(F.col("__gone__").isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_lines_dropped"]
-    return out.select(*columns, F.coalesce(F.size("__gone__"), F.lit(0)).alias("n_lines_dropped"))
+    key, copy, at = (unused(docs, name) for name in ("__doc__", "__copy__", "__gone__"))
+    gone = dropped_lines(docs, id_col, text_col, words_per_edit).groupBy("doc", "copy").agg(F.collect_set("at").alias(at))
+    gone = gone.withColumnsRenamed({"doc": key, "copy": copy})
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone[key]) & (F.xxhash64(docs[text_col]) == gone[copy]), "left")
+    left = F.filter(F.transform(F.split(docs[text_col], "\n"), lambda x, i: F.when(~F.array_contains(gone[at], i), x)), lambda x: x.isNotNull())
+    columns = [F.when(gone[at].isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_lines_dropped"]
+    return out.select(*columns, F.coalesce(F.size(gone[at]), F.lit(0)).alias("n_lines_dropped"))

@@ -16,20 +16,21 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from palimpsest.llm.components import components
-from palimpsest.llm.text import ascii_lower, durable, hinted, spaced, text_batches
+from palimpsest.llm.text import ascii_lower, durable, spaced, text_batches
 
 #: 36 bands of 6 values, that is of the minimum and maximum of 3 permutations: a pair of similarity 0.8 shares no band
 #: with probability (1 - 0.8 ** 6) ** 36 < 2e-5.
 BANDS, PERMUTATIONS = 36, 3
-#: Candidate pairs whose estimated similarity is this far below the threshold don't tie groups together.
-SLACK = 0.2
-#: Texts of a group that one task compares with as many others at once.
+#: Candidates whose estimated similarity is further than this below the threshold are not looked at in full. The estimate
+#: is a mean of 216 values: at 0.8 its standard deviation is 0.027, so a link falls out with probability 2e-4 at most.
+SLACK = 0.1
+#: Texts of a bucket that one task compares with as many others at once.
 BLOCK = 1024
-#: Groups up to this size share a task.
-SMALL = 64
+#: Rows of small buckets that one task takes, about.
+SHARE = 20_000
 #: Bytes of texts whose words a Python worker holds at once (one longer text is held whole).
 SLICE = 2_000_000
 
@@ -120,98 +121,77 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(((x == y).mean(axis=1) * 256 - 1) / 255)
 
 
-def _forest(left: list[int], right: list[int], n: int) -> list[tuple[int, int]]:
-    """Those of the links that join two trees."""
-    up = list(range(n))
+def _sets_of(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([x.tobytes() for x in shingle_sets(batch.column("words"), width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), packed], ["node", "packed"])
 
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    return run
 
-    kept = []
-    for i, j in zip(left, right, strict=True):
-        if (a := top(i)) != (b := top(j)):
-            up[a] = b
-            kept.append((i, j))
-    return kept
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v, ...) whose full sets' Jaccard similarity is percent / 100 or more."""
 
-def _confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the pairs of sets, of different sides, whose Jaccard similarity is percent / 100 or more.
+    @F.pandas_udf(BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), bool)
+        for k, (p, q) in enumerate(zip(a, b, strict=True)):
+            n = (len(p) + len(q)) // 8
+            # Sizes alone may rule the pair out.
+            if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                inter = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
+                out[k] = 100 * inter >= percent * (n - inter)
+        return pd.Series(out)
 
-    side: 0 or 1 for two blocks that are compared with each other, -1 for a block that is compared with itself.
-    Intersections are a product of incidence matrices over the hashes that two or more of the sets have.
-    """
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * inter >= percent * (sizes.sum() - inter) and (side[0] != side[1] or side[0] < 0) else []
-    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    shared = count[column] > 1
-    renumber = np.cumsum(count > 1) - 1
-    column, owner = renumber[column[shared]], owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    a, b = (np.flatnonzero(side < 1), np.flatnonzero(side < 1)) if (side < 0).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    inter = np.zeros((len(a), len(b)), np.float32)
-    step = 1024
-    total = int(column[-1]) + 1 if len(column) else 0
-    for first in range(0, total, step):
-        low, high = np.searchsorted(column, [first, first + step])
-        m = np.zeros((len(sets), step), np.float32)
-        m[owner[low:high], column[low:high] - first] = 1
-        inter += m[a] @ m[b].T
-    union = sizes[a][:, None] + sizes[b][None, :] - inter
-    i, j = np.nonzero(100.0 * inter.astype(np.float64) >= percent * union.astype(np.float64))
-    i, j = a[i], b[j]
-    ok = i < j if (side < 0).all() else np.ones(len(i), bool)
-    return _forest(i[ok].tolist(), j[ok].tolist(), len(sets))
+    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("packed").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("packed").alias("b")), "v")
+    return met.where(alike("a", "b")).select(*pairs.columns)
 
 
-def _tied(sketches: list[bytes], root: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A forest of the pairs of sketches, of different roots and sides (-1: one block), whose estimate is least or more."""
+def _near(sketches: list[bytes], root: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sketches, of different roots and sides (-1: one block), whose estimate is least or more."""
     x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
     one = (side < 0).all()
     a, b = (np.arange(len(x)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     same = np.zeros((len(a), len(b)), np.uint8)  # of 2 * BANDS * PERMUTATIONS = 216 values
-    columns = np.ascontiguousarray(x.T)
-    for values in columns:
+    for values in np.ascontiguousarray(x.T):
         same += values[a][:, None] == values[b][None, :]
     i, j = np.nonzero(((same / x.shape[1] * 256 - 1) / 255 >= least) & (root[a][:, None] != root[b][None, :]))
     i, j = a[i], b[j]
     ok = i < j if one else np.ones(len(i), bool)
-    return _forest(i[ok].tolist(), j[ok].tolist(), len(x))
+    return i[ok], j[ok]
 
 
-def _across(members: DataFrame, sketches: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) between the roots of the groups found that meet in a bucket, for every two of its members estimated at least so.
+def _across(members: DataFrame, hubs: DataFrame, sketches: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v, ru, rv) of texts and their roots in found: those that meet in a bucket, estimated at least so, of two roots.
 
-    members: (band, node, hub, n) without the hubs, which have met all of their bucket. A bucket of one group needs no
-    more links, and of buckets with the same members one is enough. Large ones are compared block by block.
+    Hubs have met all of their bucket and are left out. A bucket whose members have one root needs no more links. Small
+    buckets share tasks; of a large one, each block meets each other block and itself by their sketches, 216 bytes each,
+    so a task holds two blocks however large the bucket.
     """
-    placed = members.where("n > 2").select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    placed = durable(placed)
-    buckets = placed.groupBy("band").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("root").alias("low"), F.max("root").alias("high"))
-    buckets = buckets.where("low < high").groupBy("mark", "m").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_blocks"), "m")
-    placed = placed.join(hinted(durable(buckets), 20_000), "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
+    placed = members.where("n > 2").join(hubs, "band").where("node <> hub").select("band", "node").join(found, "node", "left")
+    placed = durable(placed.select("band", "node", F.coalesce("root", "node").alias("root")))
+    buckets = placed.groupBy("band").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    buckets = durable(buckets.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_blocks")))
+    placed = placed.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
+    n_shared = F.lit(placed.count() // SHARE + 1)
     tasks = (
-        F.when(F.col("m") <= SMALL, F.array(F.struct(F.lit(True).alias("shared"), F.pmod(F.xxhash64("band"), F.lit(4096)).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"))))
+        F.when(F.col("n_blocks") == 1, F.array(F.struct(F.lit(True).alias("shared"), F.pmod(F.xxhash64("band"), n_shared).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"))))
         .otherwise(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.lit(False).alias("shared"), F.col("band").alias("at"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
     )
-    placed = placed.join(sketches, "node").select("band", "node", "root", "block", "sketch", F.explode(tasks).alias("t")).select("band", "node", "root", "block", "sketch", "t.*")
+    dealt = placed.join(sketches, "node").select("band", "node", "root", "block", "sketch", F.explode(tasks).alias("t")).select("band", "node", "root", "block", "sketch", "t.*")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        out = []
         for _, part in rows.groupby("band", sort=False):
-            root = part["root"].to_numpy()
+            node, root = part["node"].to_numpy(), part["root"].to_numpy()
             side = np.full(len(part), -1) if key[0] or key[2] == key[3] else (part["block"].to_numpy() == key[3]).astype(int)
-            out += [(root[i], root[j]) for i, j in _tied(part["sketch"].tolist(), root, side, least)]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+            i, j = _near(part["sketch"].tolist(), root, side, least)
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            out.append(pd.DataFrame({"u": node[i], "v": node[j], "ru": root[i], "rv": root[j]}))
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({c: [] for c in ("u", "v", "ru", "rv")}, dtype="int64")
 
-    return placed.groupBy("shared", "at", "i", "j").applyInPandas(compare, "u long, v long")
+    return dealt.groupBy("shared", "at", "i", "j").applyInPandas(compare, "u long, v long, ru long, rv long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -227,79 +207,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal word sequences are one node from the start, however many rows have them, so copies are never paired. Other
     columns of docs are not read. An empty table gives an empty one.
 
-    Any two texts of a band's bucket are candidates: all are held against the bucket's least one, and then those that are
-    still in different groups against each other. Candidates tie texts into groups; groups (not buckets) are compared block by block, whole, so any number of near
-    copies is handled exactly and no task holds more than two blocks.
+    Any two texts of a band's bucket are candidates. A bucket's hub, its member that shares most buckets with most
+    others, is compared with all of them first, which ties copies of one text together by as many pairs as there are
+    copies. Then only members that have different roots are held against each other, by their sketches, and what
+    these don't rule out is confirmed on the full sets. Groups come from confirmed links alone, so texts that are
+    merely alike never grow into one group of candidates.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), spaced(ascii_lower(F.coalesce(F.col(text_col), F.lit("")))).alias("words")).withColumn("node", F.xxhash64("words"))
-    signed = durable(rows.mapInArrow(_signed(width), "id long, node long, n_shingles long, sketch binary, bands array<long>"))
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    nodes = durable(nodes)
-    spots = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = spots.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = durable(spots.join(hubs, "band").where("node <> hub"))
+    least = percent / 100 - SLACK
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("raw", F.xxhash64("text"))
+    rows = given.select("id", "raw", spaced(ascii_lower(F.col("text"))).alias("words")).withColumn("node", F.xxhash64("words"))
+    signed = durable(rows.mapInArrow(_signed(width), "id long, raw long, node long, n_shingles long, sketch binary, bands array<long>"))
+    nodes = durable(signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "raw")).alias("one"), F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     sketches = nodes.select("node", "sketch")
-    near = (
-        members.select("hub", "node")
-        .distinct()
-        .join(sketches.withColumnsRenamed({"node": "hub", "sketch": "a"}), "hub")
-        .join(sketches.withColumnRenamed("sketch", "b"), "node")
-        .where(_estimate("a", "b") >= percent / 100 - SLACK)
-        .select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    )
-    groups = durable(components(near))
+
+    # Buckets of two texts or more; of those with the same members one is enough.
+    spots = nodes.select("node", F.explode("bands").alias("band"))
+    crowded = spots.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1").groupBy("mark", "n").agg(F.min("band").alias("band")).drop("mark")
+    members = durable(spots.join(crowded, "band"))
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    hubs = durable(members.join(central, "node").groupBy("band").agg(F.max(F.struct("central", "node"))["node"].alias("hub")))
+    pairs = members.join(hubs, "band").where("node <> hub").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    pairs = pairs.join(sketches.withColumnsRenamed({"node": "u", "sketch": "a"}), "u").join(sketches.withColumnsRenamed({"node": "v", "sketch": "b"}), "v")
+    pairs = durable(pairs.where(_estimate("a", "b") >= least).select("u", "v"))
+
+    # The candidates' sets, from one of the rows that have the text.
+    wanted = durable(members.select("node").distinct().join(nodes.select("node", "one"), "node").select(F.col("node").alias("of"), F.col("one.id").alias("of_id"), F.col("one.raw").alias("of_raw")))
+    texts = given.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("raw") == F.col("of_raw"))).select(F.col("of").alias("node"), spaced(ascii_lower(F.col("text"))).alias("words"))
+    sets = durable(texts.dropDuplicates(["node"]).mapInArrow(_sets_of(width), "node long, packed binary"))
+
+    roots = durable(components(_confirmed(pairs, sets, percent)))
     # Links between groups are few, so groups are joined by their roots.
-    tops = durable(components(_across(members, sketches, groups, percent / 100 - SLACK)).withColumnsRenamed({"node": "of", "root": "top"}))
-    alone = tops.join(groups, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("top").alias("root"))
-    groups = durable(groups.join(tops, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).union(alone))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
-    placed = groups.join(sizes, "root").join(nodes.select("node", "id"), "node").withColumn("n_blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    # Small groups share tasks; of a large one, each block meets each other block and itself.
-    n_shared = F.lit(4096)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
-    placed = placed.select(
-        F.col("node").alias("of"), F.col("id").alias("first_id"), "root", "block",
-        F.when(F.col("m") <= SMALL, F.array(F.struct(F.lit(True).alias("shared"), F.pmod(F.xxhash64("root"), n_shared).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"))))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.lit(False).alias("shared"), F.col("root").alias("at"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("tasks"),
-    )
-    # By the first id too, so that the copies of one text don't meet in a task.
-    texts = rows.join(hinted(durable(placed)), (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("first_id")))
-    texts = texts.select("node", "words", "root", "block", "tasks").dropDuplicates(["node"])
-    sets = texts.mapInArrow(_sets_of(width), "node long, root long, block int, tasks array<struct<shared:boolean,at:long,i:int,j:int>>, packed binary")
-    sets = sets.select("node", "root", "block", "packed", F.explode("tasks").alias("t")).select("node", "root", "block", "packed", "t.*")
+    pairs = durable(_across(members, hubs, sketches, roots, least))
+    tops = durable(components(_confirmed(pairs, sets, percent).select(F.col("ru").alias("u"), F.col("rv").alias("v"))).withColumnsRenamed({"node": "of", "root": "top"}))
+    alone = tops.join(roots, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("top").alias("root"))
+    groups = durable(roots.join(tops, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).union(alone))
+    ids = nodes.select("node", "id")
+    first = durable(groups.join(ids, "node").groupBy("root").agg(F.min("id").alias("component_id")))
+    of = durable(ids.join(groups.join(first, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id")))
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        for _, part in rows.groupby("root", sort=False):
-            if len(part) < 2:
-                continue
-            node = part["node"].to_numpy()
-            one = key[0] or key[2] == key[3]
-            side = np.full(len(part), -1) if one else (part["block"].to_numpy() == key[3]).astype(int)
-            found = _confirmed([np.frombuffer(p, np.uint64) for p in part["packed"]], side, percent)
-            out += [(node[i], node[j]) for i, j in found]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    links = sets.groupBy("shared", "at", "i", "j").applyInPandas(compare, "u long, v long")
-    found = components(links)
-    ids = nodes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = ids.join(least, "root").select("node", "component_id")
     out = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _sets_of(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = pa.array([x.tobytes() for x in shingle_sets(batch.column("words"), width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("node", "root", "block", "tasks")] + [packed], ["node", "root", "block", "tasks", "packed"])
-
-    return run
-
-
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that near_duplicates() doesn't keep; all columns stay. Rows without an id stay."""
     gone = near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("_gone")).where("_gone is not null").distinct()

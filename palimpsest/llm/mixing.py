@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.text import durable, hinted, n_spaced, spaced
+from palimpsest.llm.text import durable, n_spaced, spaced, unused
 
 #: The sequence's modulus and multiplier: the odd number nearest to 2 ** 31 over the golden ratio.
 MODULUS, GOLDEN = 2**31, 1_327_217_885
@@ -70,7 +70,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, s, sizes[s], goal[s], max(1, -(-sizes[s] // block)), -(-n_docs[s] // CHUNK), min(round(goal[s]), 2 * sizes[s])) for k, s in enumerate(order)], "k int, name string, source_size long, target double, n_blocks long, n_chunks long, whole long")
     # Bounded by MOST_SOURCES rows of a few numbers; a larger table is joined by a shuffle.
-    table = hinted(table, 20_000)
     rows = rows.join(table, F.col("source").eqNullSafe(F.col("name")))
 
     # A document's place in its source's shuffled stream of words.
@@ -95,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # after `whole`. The words between are added or taken away.
     block_words = F.least((F.col("b") + 1) * block, F.col("source_size")) - F.col("b") * block
     ended = taken.join(table.select("k", "source_size"), "k").groupBy("k").agg(F.sum(block_words * F.col("times")).alias("ended"))
-    with_words = with_words.join(hinted(durable(ended), 20_000), "k", "left").withColumn("ended", F.coalesce("ended", F.lit(0)))
+    with_words = with_words.join(durable(ended), "k", "left").withColumn("ended", F.coalesce("ended", F.lit(0)))
 
     def within(end: str) -> Column:
         once, again = (F.least(F.greatest(F.col(end) - first - F.col("start"), F.lit(0)), F.col("size")) for first in (F.lit(0), F.col("source_size")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.session import durable as durable
+
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,29 +32,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df in the shared checkpoint folder, so that a lost executor never forces earlier stages to run again.
-
-    The folder is the session's spark.checkpoint.dir. Only a local session that has none gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def hinted(small: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """small, marked for broadcast if it is counted to hold no more than most_rows rows; else a shuffle join follows.
-
-    For narrow frames that are cheap to count (checkpointed ones, as a rule).
-    """
-    return F.broadcast(small) if small.count() <= most_rows else small
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -69,7 +69,6 @@ def test_large_group_is_compared_block_by_block(spark, monkeypatch):
 @pytest.mark.parametrize("block", [1024, 100])
 def test_stubs_of_a_template_meet_behind_other_pages(spark, monkeypatch, block):
     monkeypatch.setattr(minmax_hash, "BLOCK", block)
-    monkeypatch.setattr(minmax_hash, "SMALL", min(block, 64) // 32)
     template = " ".join(f"a{i}" for i in range(100))
     page = lambda name, n: " ".join([template, *(f"{name}_{k}" for k in range(n))])
     node = lambda text: (xxhash.xxh64_intdigest(text, 42) + 2**63) % 2**64
