@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -103,7 +105,7 @@ def pointer(path: list) -> str:
 def _index(items: list, segment: str, end: bool) -> int:
     if segment == "-" and end:
         return len(items)
-    if not re.fullmatch(r"0|[1-9]\d*", segment) or int(segment) > len(items) - (not end):
+    if not re.fullmatch(r"0|[1-9][0-9]*", segment) or int(segment) > len(items) - (not end):
         raise ValueError(f"no element {segment}")
     return int(segment)
 
@@ -119,13 +121,13 @@ def _at(value, path: list[str]):  # noqa: ANN001, ANN202
     return value
 
 
-def apply_patch(document, operations: list[dict]) -> tuple[object, list[str]]:  # noqa: ANN001
-    """(document, writes) after the operations; ValueError if one fails. The document given isn't changed.
+def apply_patch(document, operations: list[dict], own: bool = False) -> tuple[object, list[str]]:  # noqa: ANN001
+    """(document, writes) after the operations; ValueError if one fails. The document given isn't changed unless it is own.
 
     writes are the pointers that the operations write: an append by its index, both ends of a move, and the array itself
     where later elements shift. A fresh /$nonce is left out.
     """
-    document = json.loads(json.dumps(document))
+    document = document if own else json.loads(json.dumps(document))
     writes: list[str] = []
 
     def put(path: list[str], value, replace: bool) -> None:  # noqa: ANN001
@@ -192,11 +194,20 @@ def apply_patch(document, operations: list[dict]) -> tuple[object, list[str]]:
     return document, list(dict.fromkeys(writes))
 
 
+def same(a, b) -> bool:  # noqa: ANN001
+    """Whether two JSON values are equal: numbers by value, objects whatever the order of their members."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return len(a) == len(b) and all(k in b and same(x, b[k]) for k, x in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    return a == b
+
+
 def diff(old, new, at: list | None = None) -> list[dict]:  # noqa: ANN001
     """Operations that turn old into new: members in order, arrays by what their common start and end leave."""
     at = at or []
-    if canonical(old) == canonical(new):
-        return []
     if isinstance(old, dict) and isinstance(new, dict):
         out = []
         for k in sorted({*old, *new}, key=lambda k: k.encode("utf-16-be")):
@@ -208,18 +219,17 @@ def diff(old, new, at: list | None = None) -> list[dict]:  # noqa: ANN001
                 out += diff(old[k], new[k], [*at, k])
         return out
     if isinstance(old, list) and isinstance(new, list):
-        a, b = [canonical(x) for x in old], [canonical(x) for x in new]
-        start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        start = next((i for i, (x, y) in enumerate(zip(old, new, strict=False)) if not same(x, y)), min(len(old), len(new)))
         end = 0
-        while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        while end < min(len(old), len(new)) - start and same(old[-1 - end], new[-1 - end]):
             end += 1
-        gone, come = len(a) - start - end, len(b) - start - end
+        gone, come = len(old) - start - end, len(new) - start - end
         out = []
         for i in range(min(gone, come)):
             out += diff(old[start + i], new[start + i], [*at, start + i])
         out += [{"op": "remove", "path": pointer([*at, start + come])} for _ in range(gone - come)]
         return out + [{"op": "add", "path": pointer([*at, start + i]), "value": new[start + i]} for i in range(gone, come)]
-    return [{"op": "replace", "path": pointer(at), "value": new}]
+    return [] if same(old, new) else [{"op": "replace", "path": pointer(at), "value": new}]
 
 
 def fold(entries: list[tuple[str, str | None]]) -> object:
@@ -231,14 +241,22 @@ def fold(entries: list[tuple[str, str | None]]) -> object:
     return document
 
 
-def _texts(function, text: pd.Series) -> pd.Series:  # noqa: ANN001
-    def one(t):  # noqa: ANN001, ANN202
-        try:
-            return None if t is None else function(t)
-        except (ValueError, KeyError, TypeError, RecursionError):
-            return None
+#: What a kernel may meet in a text that isn't what it should be; such a row gets null or an error, and the job goes on.
+FAULTS = (ValueError, KeyError, TypeError, AttributeError, IndexError, OverflowError, RecursionError)
+
+
+def guarded(function, *texts):  # noqa: ANN001, ANN201
+    """(function(*texts), None), or (None, why not); (None, None) if a text is null."""
+    if any(t is None for t in texts):
+        return None, None
+    try:
+        return function(*texts), None
+    except FAULTS as e:
+        return None, str(e) or type(e).__name__
+
 
-    return text.map(one)
+def _texts(function, *columns: pd.Series) -> pd.Series:  # noqa: ANN001
+    return pd.Series([guarded(function, *row)[0] for row in zip(*columns, strict=True)], dtype=object)
 
 
 @F.pandas_udf(StringType())
@@ -249,48 +267,106 @@ def canonical_json(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(IntegerType())
 def json_depth(text: pd.Series) -> pd.Series:
+    """Levels of nesting; null if the text isn't strict JSON."""
     return _texts(lambda t: depth(parse(t)), text).astype("Int32")
 
 
 @F.pandas_udf(StringType())
 def json_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else canonical(diff(json.loads(a), json.loads(b))) for a, b in zip(old, new, strict=True)])
+    """The patch from one JSON text to another; null if either is null or isn't JSON."""
+    return _texts(lambda a, b: canonical(diff(json.loads(a), json.loads(b))), old, new)
 
 
 @F.pandas_udf(StructType().add("document", StringType()).add("writes", ArrayType(StringType())).add("error", StringType()))
 def json_patch(document: pd.Series, operations: pd.Series) -> pd.DataFrame:
-    """The document, its writes, or why a patch fails."""
-    rows = []
-    for d, o in zip(document, operations, strict=True):
-        try:
-            after, writes = apply_patch(None if d is None else json.loads(d), json.loads(o))
-            rows.append((canonical(after), writes, None))
-        except (ValueError, KeyError, TypeError) as e:
-            rows.append((None, None, str(e)))
-    return pd.DataFrame(rows, columns=["document", "writes", "error"])
-
-
-def fold_documents(revisions: DataFrame, keys: tuple[str, ...] = ("ns", "resource")) -> DataFrame:
+    """The document, its writes, or why a patch fails. A null document is the JSON null; null operations give nulls."""
+
+    def one(d: str, o: str) -> tuple[str, list[str]]:
+        after, writes = apply_patch(json.loads(d), json.loads(o), own=True)
+        return canonical(after), writes
+
+    rows = [guarded(one, "null" if d is None else d, o) for d, o in zip(document, operations, strict=True)]
+    return pd.DataFrame([(*(x or (None, None)), e) for x, e in rows], columns=["document", "writes", "error"])
+
+
+#: Patches that are held before they are applied: a snapshot among them drops those before it.
+HELD = 256
+
+
+class _Chain:
+    """A document on its way along a chain of patches."""
+
+    def __init__(self) -> None:
+        self.document, self.error, self.held = None, None, []
+
+    def add(self, kind: str, patches: str | None) -> None:
+        if kind != "head" or not patches:
+            return
+        if patches.startswith(WHOLE):
+            self.document, self.error, self.held = None, None, []
+        self.held.append(patches)
+        if len(self.held) >= HELD:
+            self.settle()
+
+    def settle(self) -> tuple[str | None, str | None]:
+        for patches in self.held if self.error is None else []:
+            after, self.error = guarded(lambda p: (apply_patch(self.document, json.loads(p), own=True)[0],), patches)
+            if self.error is not None:
+                break
+            self.document = after[0]
+        self.held = []
+        return (None, self.error) if self.error is not None else guarded(canonical, self.document) if self.document is not None else ("null", None)
+
+
+#: How a patch that sets the whole document begins.
+WHOLE = '[{"op":"add","path":""'
+
+
+def fold_documents(revisions: DataFrame, keys: tuple[str, ...] = ("ns", "resource"), wanted: DataFrame | None = None) -> DataFrame:
     """(keys, document, error): each resource's document after its chain, (keys, seq, kind, patches), in order of seq.
 
-    A chain is one group of a grouped map: chains are bounded by snapshots (start from a row whose patch adds the whole
-    document), so the group is the tail of one resource's history, never more.
+    From null on, a tombstone keeps the document and a restore patches it; a patch that sets the whole document (a
+    snapshot) makes all before it unneeded. error says why a patch fails (then document is null until a snapshot).
+    With wanted, (keys, seq), it is (keys, seq, document, error), the document after each of those revisions instead.
+
+    Chains are sorted and streamed, with one document and a few patches in memory, however long a chain is.
     """
-    start = F.max(F.when(F.col("patches").startswith('[{"op":"add","path":""'), F.col("seq"))).alias("_from")
-    tail = revisions.join(revisions.groupBy(*keys).agg(start), list(keys)).where("_from is null or seq >= _from").drop("_from")
-    chains = tail.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "patches"))).alias("_chain"))
-
-    @F.pandas_udf(StructType().add("document", StringType()).add("error", StringType()))
-    def folded(chain: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c in chain:
-            try:
-                rows.append((canonical(fold([(e["kind"], e["patches"]) for e in c])), None))
-            except (ValueError, KeyError, TypeError) as e:
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["document", "error"])
-
-    return chains.select(*keys, folded("_chain").alias("_f")).select(*keys, "_f.*")
+    each = wanted is not None
+    rows = revisions.select(*keys, "seq", "kind", "patches")
+    rows = rows.withColumn("_emit", F.lit(False)) if not each else rows.join(wanted.select(*keys, "seq").distinct().withColumn("_emit", F.lit(True)), [*keys, "seq"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in revisions.schema.fields}
+    places = [*keys, "seq"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chain, seq, types = None, _Chain(), None, None
+        for batch in batches:
+            out: list[tuple] = []
+            types = types or [batch.schema.field(c).type for c in places]
+            for *key, n, kind, patches, emit in zip(*(batch.column(c).to_pylist() for c in (*places, "kind", "patches", "_emit")), strict=True):
+                if key != at:
+                    if at is not None and not each:
+                        out.append((*at, seq, *chain.settle()))
+                    at, chain = key, _Chain()
+                seq = n
+                chain.add(kind, patches)
+                if emit:
+                    out.append((*key, n, *chain.settle()))
+            yield made(out, types)
+        if at is not None and not each:
+            yield made([(*at, seq, *chain.settle())], types)
+
+    def made(rows: list[tuple], types: list) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * (len(places) + 2)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.string(), pa.string()], strict=True)], [*places, "document", "error"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*places)
+    out = dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in places), "document string", "error string"]))
+    return out if each else out.drop("seq")
+
+
+def document_at(revisions: DataFrame, at: int | None = None, keys: tuple[str, ...] = ("ns", "resource")) -> DataFrame:
+    """(keys, document, error): documents as of an entry of the log (None: now); resources without one by then have no row."""
+    return fold_documents(revisions if at is None else revisions.where(F.col("seq") <= at), keys)
 
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz234567"

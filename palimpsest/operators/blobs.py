@@ -2,14 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+
+from palimpsest.functions import json_text
+
+
+@F.pandas_udf(ArrayType(StructType().add("pointer", StringType()).add("blob", StringType()).add("type", StringType()).add("size", LongType()).add("problem", StringType())))
+def _walk(text: pd.Series) -> pd.Series:
+    """Each object with a $blob string, by pointer, and what is wrong with it; below such an object nothing is looked for."""
+
+    def problem(x: dict, at: str) -> str | None:
+        free = ("$schema", "$nonce", "$successor") if not at else ()
+        size = x.get("size")
+        if not re.fullmatch("1[a-z2-7]{32}", x["$blob"]):
+            return "id"
+        if any(k not in ("$blob", "type", "size", "nonce", *free) for k in x):
+            return "member"
+        if not isinstance(x.get("type"), str) or not re.fullmatch(r"[a-z0-9][a-z0-9!#$&^_.+-]*/[a-z0-9][a-z0-9!#$&^_.+-]*", x["type"]):
+            return "type"
+        if isinstance(size, bool) or not isinstance(size, int | float) or size < 0 or size != int(size) or size > 2**53:
+            return "size"
+        if "nonce" in x and not (isinstance(x["nonce"], str) and re.fullmatch("[a-z2-7]{26}", x["nonce"])):
+            return "nonce"
+        return None
+
+    def one(t: str) -> list[dict]:
+        out, stack = [], [(json_text.parse(t), "")]
+        while stack:
+            x, at = stack.pop()
+            if isinstance(x, dict) and isinstance(x.get("$blob"), str):
+                size = x.get("size")
+                fine = (wrong := problem(x, at)) is None
+                out.append({"pointer": at, "blob": x["$blob"], "type": x["type"] if fine else None, "size": int(size) if fine else None, "problem": wrong})
+            elif isinstance(x, dict):
+                stack += [(v, f"{at}/{k.replace('~', '~0').replace('/', '~1')}") for k, v in x.items()]
+            elif isinstance(x, list):
+                stack += [(v, f"{at}/{i}") for i, v in enumerate(x)]
+        return sorted(out, key=lambda r: r["pointer"])
+
+    return json_text._texts(one, text)
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """(ns, resource, blob): every {"$blob": id} at any depth of the documents' text, each once for a document."""
-    ids = F.regexp_extract_all("doc", F.lit(r'"\$blob"\s*:\s*"(1[a-z2-7]{32})"'), F.lit(1))
-    return docs.select("ns", "resource", F.explode(F.array_distinct(ids)).alias("blob"))
+    """(ns, resource, pointer, blob, type, size, problem): every blob reference in the documents (doc as JSON text).
+
+    A reference has $blob (an id), type, size and perhaps a nonce, and nothing else; problem names the member that is
+    wrong, or is null. Texts that aren't JSON have none.
+    """
+    # The plain search spares most documents the walk.
+    some = docs.where(F.col("doc").contains('$blob'))
+    return some.select("ns", "resource", F.explode(_walk("doc")).alias("_r")).select("ns", "resource", "_r.*")
+
+
+def byte_range(content: Column, first: Column | int, last: Column | int) -> Column:
+    """Bytes first to last (from 0, both included) of a content, as a range request has them; null if it begins beyond the end."""
+    raw, first, last = content.cast("binary"), F.lit(first) if isinstance(first, int) else first, F.lit(last) if isinstance(last, int) else last
+    return F.when((first < F.octet_length(raw)) & (first <= last), F.substring(raw, first + 1, last - first + 1))
 
 
 def attachments(history: DataFrame) -> DataFrame:
@@ -40,6 +93,12 @@ def sweepable(pending: DataFrame, attached: DataFrame, before) -> DataFrame:  #
     return pending.where(F.col("created") < before).join(attached.select("ns", "blob"), ["ns", "blob"], "left_anti")
 
 
+def unreferenced(stored: DataFrame, attached: DataFrame, pending: DataFrame) -> DataFrame:
+    """The stored (blob) that no namespace holds and no upload waits for: their bytes may go."""
+    held = attached.select("blob").unionByName(pending.select("blob"))
+    return stored.join(held, "blob", "left_anti")
+
+
 def statistics(blobs: DataFrame) -> DataFrame:
     """(ns, n, bytes, n_encrypted) of blobs (ns, size, encrypted)."""
     return blobs.groupBy("ns").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count(F.when(F.col("encrypted"), 1)).alias("n_encrypted"))

@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from palimpsest.functions import json_text as J
 from palimpsest.operators.branch import classify, common_ancestor
@@ -56,18 +56,68 @@ def squash(steps: DataFrame) -> DataFrame:
 def inverse_patch(before: pd.Series, after: pd.Series, now: pd.Series, writes: pd.Series) -> pd.DataFrame:
     """The patch that sets what a revision wrote back to its parent's values, in the document as it is now.
 
-    writes: the revision's pointers. It fails where a later revision changed what it would set back.
+    writes: the revision's pointers. It fails where a later revision changed what it would set back. Null documents are
+    the JSON null; null writes give nulls.
     """
-    rows = []
-    for a, b, c, w in zip(before, after, now, writes, strict=True):
-        try:
-            parent, own, current = (json.loads(x) if x is not None else None for x in (a, b, c))
-            rows.append((J.canonical(_inverse(parent, own, current, list(w))), None))
-        except (ValueError, KeyError, TypeError) as e:
-            rows.append((None, str(e)))
+
+    def one(a: str, b: str, c: str, w: list[str]) -> str:
+        return J.canonical(_inverse(json.loads(a), json.loads(b), json.loads(c), list(w)))
+
+    rows = [J.guarded(one, *("null" if x is None else x for x in (a, b, c)), w) for a, b, c, w in zip(before, after, now, writes, strict=True)]
     return pd.DataFrame(rows, columns=["patches", "error"])
 
 
+@F.pandas_udf(PATCH)
+def inverse_of_gesture(documents: pd.Series, now: pd.Series) -> pd.DataFrame:
+    """The patch that undoes a gesture on one resource: what its revisions changed goes back to how it was before them.
+
+    documents: (before, after) of each of the gesture's revisions of the resource, oldest first, as JSON text. Revisions
+    are undone from the last to the first on one working copy of the document as it is now.
+    """
+
+    def one(pairs: list, c: str) -> str:
+        start = current = json.loads(c)
+        for pair in reversed(list(pairs)):
+            old, new = json.loads(pair["before"] or "null"), json.loads(pair["after"] or "null")
+            _, wrote = J.apply_patch(old, J.diff(old, new))
+            current, _ = J.apply_patch(current, _inverse(old, new, current, wrote))
+        return J.canonical(J.diff(start, current))
+
+    rows = [J.guarded(one, d, c) for d, c in zip(documents, now, strict=True)]
+    return pd.DataFrame(rows, columns=["patches", "error"])
+
+
+def widened(pointer: str, before, after) -> str:  # noqa: ANN001
+    """A write into an array as a write to the outermost array that holds it, before or after the change."""
+    path = J.segments(pointer)
+    for k in range(len(path)):
+        for document in (before, after):
+            found, value = _value(document, path[:k])
+            if found and isinstance(value, list):
+                return J.pointer(path[:k])
+    return pointer
+
+
+@F.pandas_udf(StructType().add("writes", ArrayType(StringType())).add("document", StringType()).add("error", StringType()))
+def folded_writes(start: pd.Series, steps: pd.Series, copies: pd.Series) -> pd.DataFrame:
+    """What steps (patches as JSON text, in order) write, arrays widened, and the document that they lead to.
+
+    copies: whether the sources of copies count as written too, as they do for the side that is replayed.
+    """
+
+    def one(a: str, patches: list, count: bool) -> tuple[list[str], str]:
+        document, out = json.loads(a), []
+        for text in patches:
+            for op in json.loads(text):
+                before = document
+                document, wrote = J.apply_patch(before, [op])
+                out += [widened(w, before, document) for w in [*wrote, *([op["from"]] if count and op["op"] == "copy" else [])]]
+        return list(dict.fromkeys(out)), J.canonical(document)
+
+    rows = [J.guarded(one, "null" if a is None else a, p, c) for a, p, c in zip(start, steps, copies, strict=True)]
+    return pd.DataFrame([(*(x or (None, None)), e) for x, e in rows], columns=["writes", "document", "error"])
+
+
 def _value(document, path: list[str]) -> tuple[bool, object]:  # noqa: ANN001
     try:
         return True, J._at(document, path)
@@ -92,19 +142,24 @@ def _inverse(parent, own, current, writes: list[str]) -> list[dict]:  # noqa: AN
     return out
 
 
-@F.pandas_udf(StructType().add("patches", StringType()).add("ours", ArrayType(StringType())).add("theirs", ArrayType(StringType())).add("conflict", StringType()))
+@F.pandas_udf(StructType().add("patches", StringType()).add("ours", ArrayType(StringType())).add("theirs", ArrayType(StringType())).add("conflict", StringType()).add("error", StringType()))
 def save_against(base: pd.Series, mine: pd.Series, head: pd.Series) -> pd.DataFrame:
-    """The patch that brings a whole document, edited from an older base, onto the head; or the pointer that both changed."""
-    rows = []
-    for a, b, c in zip(base, mine, head, strict=True):
+    """The patch that brings a whole document, edited from an older base, onto the head; or the pointer that both changed.
+
+    A null gives nulls, a text that isn't JSON an error.
+    """
+
+    def one(a: str, b: str, c: str) -> tuple:
         start, edited, current = json.loads(a), json.loads(b), json.loads(c)
         patch = J.diff(start, edited)
         _, ours = J.apply_patch(start, patch)
         _, theirs = J.apply_patch(start, J.diff(start, current))
         split = [(J.segments(x), J.segments(y)) for x in ours for y in theirs]
         met = [x for x, y in split if x[: len(y)] == y or y[: len(x)] == x]
-        rows.append((None if met else J.canonical(patch), ours, theirs, J.pointer(met[0]) if met else None))
-    return pd.DataFrame(rows, columns=["patches", "ours", "theirs", "conflict"])
+        return None if met else J.canonical(patch), ours, theirs, J.pointer(met[0]) if met else None
+
+    rows = [J.guarded(one, *texts) for texts in zip(base, mine, head, strict=True)]
+    return pd.DataFrame([(*(x or (None,) * 4), e) for x, e in rows], columns=["patches", "ours", "theirs", "conflict", "error"])
 
 
 def rebase(branch: DataFrame, successor: DataFrame, branch_chain: DataFrame, successor_chain: DataFrame) -> DataFrame:
@@ -153,10 +208,87 @@ def view_fingerprint(rules: list[dict], principal: dict, key: str) -> str:
     return combined_checkpoint({"rules": J.canonical(sorted(J.canonical(r) for r in rules)), "principal": J.canonical(principal), "key": key})
 
 
-def over_limits(docs: DataFrame, most_bytes: int = 1 << 20, most_depth: int = 64) -> DataFrame:
-    """docs (doc as JSON text) with over: size, depth or invalid, or null."""
-    deep = J.json_depth("doc")
-    return docs.withColumn("over", F.when(F.octet_length("doc") > most_bytes, "size").when(deep.isNull(), "invalid").when(deep > most_depth, "depth"))
+def combined_checkpoints(at: DataFrame, by: str) -> DataFrame:
+    """(by, checkpoint): combined_checkpoint() of each group's places, at: (by, ns, id)."""
+    places = F.map_from_entries(F.sort_array(F.collect_list(F.struct("ns", "id"))))
+    made = at.groupBy(by).agg(F.to_json(places).alias("_at"))
+    return made.select(by, F.left(F.sha2(J.canonical_json("_at"), 256), F.lit(40)).alias("checkpoint"))
+
+
+def view_fingerprints(rules: list[str], principal: Column, key: str) -> Column:
+    """view_fingerprint() of a column of principals (the values that the rules read, as JSON text); rules as canonical text."""
+    given = F.to_json(F.struct(F.lit(key).alias("key"), J.canonical_json(principal).alias("principal"), F.lit(J.canonical(sorted(rules))).alias("rules")))
+    return F.left(F.sha2(J.canonical_json(given), 256), F.lit(40))
+
+
+def renamed_references(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """refs (ns, resource, ref, target_ns, target) with new_name and new_ref, as an import under other names needs them.
+
+    names: (ns, old, new), once for each renamed resource; all others keep their names.
+    """
+    own = names.select("ns", F.col("old").alias("resource"), F.col("new").alias("_own"))
+    other = names.select(F.col("ns").alias("target_ns"), F.col("old").alias("target"), F.col("new").alias("_target"))
+    rows = refs.join(own, KEY, "left").join(other, ["target_ns", "target"], "left")
+    stem, tail = F.concat(F.lit("/r/"), F.col("target_ns"), F.lit("/"), F.col("target")), F.substring(F.col("ref"), F.length(F.concat(F.lit("/r/"), F.col("target_ns"), F.lit("/"), F.col("target"))) + 1, F.length("ref"))
+    ref = F.when(F.col("_target").isNotNull() & F.startswith("ref", stem), F.concat(F.lit("/r/"), F.col("target_ns"), F.lit("/"), F.col("_target"), tail)).otherwise(F.col("ref"))
+    return rows.select(*refs.columns, F.coalesce("_own", "resource").alias("new_name"), ref.alias("new_ref"))
+
+
+def resolved_schemas(wanted: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """wanted (schema) with the revision of the first source (name, (schema, revision)) that has it, and found, that source.
+
+    Sources come in order: a branch's drafts, its bases' drafts, what is published. Both are null where none has it.
+    """
+    every = None
+    for k, (name, rows) in enumerate(sources):
+        one = rows.select("schema", F.struct(F.lit(k).alias("k"), "revision", F.lit(name).alias("found")).alias("s"))
+        every = one if every is None else every.unionByName(one)
+    best = every.groupBy("schema").agg(F.min("s").alias("s"))
+    return wanted.join(best, "schema", "left").select("schema", "s.revision", "s.found")
+
+
+def purges_to_follow(heads: DataFrame, purged: DataFrame) -> DataFrame:
+    """heads (ns, resource, ...) of a copy that its origin has purged since (ns, resource) and that it has to purge too."""
+    return heads.join(purged.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def over_limits(docs: DataFrame, most_bytes: int = 1 << 20, most_depth: int = 64, most_pointer: int = 1024, most_string: int = 1 << 18) -> DataFrame:
+    """docs (doc as JSON text) with over: the first of invalid, size, depth, pointer and string, or null.
+
+    size is that of the canonical form; pointers and strings are measured as canonical JSON tokens in bytes.
+    """
+    shape = _shape("doc")
+    over = (
+        F.when(F.col("doc").isNull(), None)
+        .when(shape["bytes"].isNull(), "invalid")
+        .when(shape["bytes"] > most_bytes, "size")
+        .when(shape["depth"] > most_depth, "depth")
+        .when(shape["pointer"] > most_pointer, "pointer")
+        .when(shape["string"] > most_string, "string")
+    )
+    return docs.withColumn("over", over)
+
+
+@F.pandas_udf(StructType().add("bytes", LongType()).add("depth", LongType()).add("pointer", LongType()).add("string", LongType()))
+def _shape(text: pd.Series) -> pd.DataFrame:
+    """Bytes of the canonical form, nesting, and the longest pointer and string as canonical tokens."""
+
+    def one(t: str) -> tuple[int, int, int, int]:
+        value, sizes, longest = J.parse(t), [0, 0], 0
+        token = lambda x: len(J.canonical(x).encode())
+        stack = [(value, 2, 0)]
+        while stack:
+            x, path, deep = stack.pop()
+            sizes = [max(sizes[0], path), max(sizes[1], token(x) if isinstance(x, str) else 0)]
+            longest = max(longest, deep + isinstance(x, dict | list))
+            if isinstance(x, dict):
+                stack += [(v, path + token(k) - 1, deep + 1) for k, v in x.items()]
+                sizes[1] = max([sizes[1], *map(token, x)])
+            elif isinstance(x, list):
+                stack += [(v, path + 1 + len(str(i)), deep + 1) for i, v in enumerate(x)]
+        return len(J.canonical(value).encode()), longest, *sizes
+
+    return pd.DataFrame([J.guarded(one, t)[0] or (None,) * 4 for t in text], columns=["bytes", "depth", "pointer", "string"]).astype("Int64")
 
 
 def successor(doc: Column) -> Column:
@@ -174,46 +306,21 @@ def instance(doc: Column) -> Column:
 
 
 def failures(schema: dict, value: Column) -> Column:
-    """All members of an object that fail: the names of the properties whose schema isn't satisfied, and those missing."""
-    from palimpsest.functions.variant import get, schema_condition
+    """The instance pointers of all that fails a schema, each once, in the order of its keywords."""
+    from palimpsest.functions.variant import all_failures
 
-    required, out = set(schema.get("required", [])), []
-    for name, sub in sorted(schema.get("properties", {}).items()):
-        pointer = "/" + name.replace("~", "~0").replace("/", "~1")
-        member = get(value, pointer)
-        bad = (member.isNotNull() & ~schema_condition(sub, member, schema)) | (member.isNull() if name in required else F.lit(False))
-        out.append(F.when(bad, F.lit(pointer)))
-    out += [F.when(get(value, "/" + n).isNull(), F.lit("/" + n)) for n in sorted(required - set(schema.get("properties", {})))]
-    return F.array_compact(F.array(*out))
+    return F.array_distinct(F.transform(all_failures(schema, value), lambda f: f["instance"]))
 
 
 @F.pandas_udf(StringType())
 def pretty(text: pd.Series) -> pd.Series:
-    """A document as a file: two blanks of indent, members in canonical order, a line feed at the end."""
-
-    def one(t: str | None) -> str | None:
-        return None if t is None else json.dumps(json.loads(J.canonical(json.loads(t))), ensure_ascii=False, indent=2) + "\n"
-
-    return text.map(one)
-
-
-class Answers:
-    """Answers kept by (checkpoint, canonical query) as cached DataFrames, the oldest going first beyond `most`."""
+    """A document as a file: two blanks of indent, members in canonical order, a line feed at the end; null if it isn't JSON."""
+    return J._texts(lambda t: json.dumps(json.loads(J.canonical(json.loads(t))), ensure_ascii=False, indent=2) + "\n", text)
 
-    def __init__(self, most: int = 16) -> None:
-        self.most, self.kept = most, {}
 
-    def get(self, ns: str, at: str, question: str, make) -> DataFrame:  # noqa: ANN001
-        key = (ns, at, question)
-        if key in self.kept:
-            self.kept[key] = self.kept.pop(key)
-            return self.kept[key]
-        while len(self.kept) >= self.most:
-            self.kept.pop(next(iter(self.kept))).unpersist()
-        self.kept[key] = make().cache()
-        return self.kept[key]
+@F.pandas_udf(ArrayType(StructType().add("pointer", StringType()).add("problem", StringType())))
+def schema_problems(text: pd.Series) -> pd.Series:
+    """What a schema document (JSON text) may not have; null if it is null or isn't JSON."""
+    from palimpsest.functions.variant import schema_problems as problems
 
-    def drop(self, ns: str) -> None:
-        """A purge of a namespace drops its answers."""
-        for key in [k for k in self.kept if k[0] == ns]:
-            self.kept.pop(key).unpersist()
+    return J._texts(lambda t: [{"pointer": p, "problem": x} for p, x in problems(json.loads(t))], text)

@@ -7,6 +7,9 @@ whole log (byte_pages), and that one is summed in chunks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,34 @@ def filtered(log: DataFrame, visible: Column) -> DataFrame:
     return kept.withColumn("kind", F.when(F.col("_v"), F.col("kind")).otherwise("hidden")).withColumn("target", F.when(F.col("_v"), F.col("target"))).drop("_v", "_shown")
 
 
+def filtered_batches(log: DataFrame, visible: Column) -> DataFrame:
+    """filtered() over a log with batch entries: a batch is narrowed to what the reader sees of it and goes if that is nothing.
+
+    visible is over (ns, seq, kind, resource, target) of each entry, those inside batches included, which follow one
+    another by their place. Batches come back whole, as one row.
+    """
+    entry = "array<struct<kind:string,resource:string,target:string>>"
+    own = F.array(F.struct(F.col("kind"), F.col("resource"), F.col("target"))).cast(entry)
+    rows = log.select("ns", "seq", (F.col("kind") == "batch").alias("_whole"), F.posexplode(F.when(F.col("kind") == "batch", F.col("entries")).otherwise(own)).alias("_at", "_e")).select("ns", "seq", "_whole", "_at", "_e.*")
+    judged = rows.withColumn("_v", F.coalesce(visible, F.lit(False)) | F.col("resource").isNull())
+    before = F.lag("_v").over(Window.partitionBy(*KEY).orderBy("seq", "_at"))
+    judged = judged.withColumn("_shown", F.coalesce(before, F.lit(False))).where("_v or _shown")
+    shown = F.struct("_at", F.when(F.col("_v"), F.col("kind")).otherwise("hidden").alias("kind"), "resource", F.when(F.col("_v"), F.col("target")).alias("target"))
+    out = judged.groupBy("ns", "seq", "_whole").agg(F.array_sort(F.collect_list(shown)).alias("_es"))
+    bare = F.transform("_es", lambda e: F.struct(e["kind"].alias("kind"), e["resource"].alias("resource"), e["target"].alias("target")))
+    one = lambda c: F.when(~F.col("_whole"), F.col("_es")[0][c]).alias(c)
+    return out.select("ns", "seq", F.when(F.col("_whole"), "batch").otherwise(F.col("_es")[0]["kind"]).alias("kind"), one("resource"), one("target"), F.when(F.col("_whole"), bare).alias("entries"))
+
+
+def tailed(log: DataFrame, namespaces: DataFrame, heads: DataFrame, since: int) -> DataFrame:
+    """The entries after `since` of all namespaces, batches spelt out, with their namespace's base and the resource's state now.
+
+    namespaces: (ns, base); heads: (ns, resource, kind). Entries of unknown namespaces go, those of unknown resources stay.
+    """
+    new = entries(log.where(F.col("seq") > since)).join(namespaces.select("ns", "base"), "ns")
+    return new.join(heads.select(*KEY, state(F.col("kind")).alias("state")), KEY, "left")
+
+
 def retained(revisions: DataFrame, last: int, since, order: str = "seq", created: str = "created") -> DataFrame:  # noqa: ANN001
     """The revisions that retention keeps: those from min(head, N-th newest, first created at or after `since`) on.
 
@@ -137,10 +168,36 @@ def prunable(revisions: DataFrame, horizons: DataFrame, protected: DataFrame) ->
     return below.select(*revisions.columns).join(protected, [*KEY, "seq"], "left_anti")
 
 
+def cut_greedily(rows: DataFrame, keys: list[str], order: str, size: Column, most: int, name: str) -> DataFrame:
+    """rows with `name`, numbers from 0 of the parts that each chain (keys, in order) is cut into.
+
+    A part takes entries until the next one would lift it above `most`; an entry of more than that is a part of its own.
+    Where a part ends depends on all before it, so a chain is passed through in its order, sorted (through the disk if
+    need be) and streamed: only the running number and fill are held, however long the chain.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part, filled = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for n, *key in zip(*(batch.column(c).to_pylist() for c in ("_size", *keys)), strict=True):
+                if key != last:
+                    last, part, filled = key, 0, 0
+                elif filled and filled + n > most:
+                    part, filled = part + 1, 0
+                filled += n
+                numbers.append(part)
+            kept = [c for c in batch.schema.names if c != "_size"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(numbers, pa.int64())], [*kept, name])
+
+    dealt = rows.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0))).repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInArrow(cut, f"{fields}, `{name}` long")
+
+
 def byte_pages(log: DataFrame, size: Column, most: int, chain: list[str] | None = None) -> DataFrame:
-    """log with page: entries are cut where a chain's running size crosses a multiple of `most` bytes, in seq order."""
-    w = Window.partitionBy(*(chain or KEY)).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("_end", F.sum(size).over(w)).withColumn("page", F.floor((F.col("_end") - size) / most).cast("long")).drop("_end")
+    """log with page: a chain's entries in seq order, a new page where the next entry would lift it above `most` bytes."""
+    return cut_greedily(log, chain or KEY, "seq", size, most, "page")
 
 
 def first_page(log: DataFrame, size: Column, most: int, chain: list[str] | None = None) -> DataFrame:
@@ -164,6 +221,13 @@ def snapshots_for(revisions: DataFrame, is_snapshot: Column) -> DataFrame:
     return out.withColumn("since_snapshot", F.row_number().over(Window.partitionBy(*KEY, "snapshot_seq").orderBy("seq")) - 1)
 
 
+def since_snapshot(revisions: DataFrame, is_snapshot: Column, size: Column) -> DataFrame:
+    """(ns, resource, revisions, bytes): what each resource has gathered since its last snapshot (since its start without one)."""
+    last = revisions.where(is_snapshot).groupBy(*KEY).agg(F.max("seq").alias("_s"))
+    newer = revisions.join(last, KEY, "left").withColumn("_n", F.coalesce(F.col("seq") > F.col("_s"), F.lit(True)))
+    return newer.groupBy(*KEY).agg(F.count(F.when(F.col("_n"), 1)).alias("revisions"), F.coalesce(F.sum(F.when(F.col("_n"), size)), F.lit(0)).cast("long").alias("bytes"))
+
+
 def gesture_entries(revisions: DataFrame, history: DataFrame, gesture: str) -> DataFrame:
     """Revisions of a gesture or undoing it, oldest first, with ns_seq, the first log entry that recorded each.
 

@@ -1,8 +1,7 @@
-"""Checks of proposed writes: preconditions, all-or-nothing batches, and rate limits."""
+"""Checks of proposed writes: preconditions, all-or-nothing batches, retries and what a dry run would leave."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +42,28 @@ def judge_batches(judged: DataFrame) -> DataFrame:
     return worst.select("batch", F.col("_w").isNull().alias("ok"), "_w.item", "_w.status")
 
 
-def admit(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """requests (key, at in seconds, cost, id) with admitted: a token bucket of each key, refilled at rate up to burst.
+def repeated(proposed: DataFrame) -> DataFrame:
+    """(batch, resource): what a batch names more than once, which no batch may."""
+    return proposed.groupBy("batch", "ns", "resource").agg(F.count("*").alias("_n")).where("_n > 1").select("batch", "ns", "resource")
 
-    A request is admitted if its bucket holds a token, and then pays its cost, below zero if need be. One key's
-    requests follow each other by nature, so a key is a group; keys are spread over the cluster.
+
+def retried(proposed: DataFrame, done: DataFrame) -> DataFrame:
+    """(batch, replayed): whether a batch was applied before under the same key with the same items (a retry), or null.
+
+    done: (key, digest) of applied batches; proposed has key and body. true: answer as then; false: the key stands for
+    something else, a conflict; null: new. The digest is over the items' bodies in their order.
     """
+    parts = F.array_sort(F.collect_list(F.struct("item", "body")))
+    digest = F.sha2(F.array_join(F.transform(parts, lambda p: p["body"]), "\n"), 256)
+    own = proposed.groupBy("batch", "key").agg(digest.alias("_digest"))
+    return own.join(done.select("key", F.col("digest").alias("_done")), "key", "left").select("batch", (F.col("_digest") == F.col("_done")).alias("replayed"))
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "id"], kind="stable")
-        level, last, out = burst, None, []
-        for at, cost in zip(rows["at"], rows["cost"], strict=True):
-            level = min(burst, level + (0 if last is None else (at - last) * rate))
-            last = at
-            out.append(level >= 1)
-            if out[-1]:
-                level -= cost
-        return rows.assign(admitted=out)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.groupBy("key").applyInPandas(run, f"{fields}, admitted boolean")
+def dry_run(heads: DataFrame, judged: DataFrame, batches: DataFrame) -> DataFrame:
+    """The heads (ns, resource, kind, target) as they would be if the batches that hold were applied; nothing is written.
+
+    judged: judge_writes() of items with new_target; batches: judge_batches().
+    """
+    won = judged.join(batches.where("ok").select("batch"), "batch", "left_semi")
+    new = won.select("ns", "resource", F.when(F.col("action") == "delete", "tombstone").otherwise("head").alias("kind"), F.col("new_target").alias("target"))
+    return heads.select("ns", "resource", "kind", "target").join(new, ["ns", "resource"], "left_anti").unionByName(new)

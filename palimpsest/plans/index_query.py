@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["ns", "resource"]
@@ -16,7 +16,7 @@ KEY = ["ns", "resource"]
 
 @dataclass(frozen=True)
 class Index:
-    """docs, facet, sort, text and ref tables (palimpsest.model), and tokens(ns, resource, token, n) for words."""
+    """docs, facet, sort, text and ref tables (palimpsest.model), and tokens(ns, resource, path, pos, token) for words."""
 
     docs: DataFrame
     facet: DataFrame | None = None
@@ -82,12 +82,24 @@ def least_values(sort: DataFrame) -> DataFrame:
 def words_score(tokens: DataFrame, words: tuple[str, ...]) -> DataFrame:
     """(ns, resource, score) of the documents that have all words; a word with a final * is a prefix.
 
-    A word scores tf * 2.2 / (tf + 1.2), tf being its count in all text fields; no statistics of the corpus enter.
+    A word of several tokens is a phrase: they must follow one another in one text field. A word scores tf * 2.2 / (tf +
+    1.2), tf being how often it occurs in all text fields; no statistics of the corpus enter. A word without any token
+    matches nothing. The filter on tokens comes before anything is grouped, so it reaches a persisted token table's scan.
     """
-    which = F.array_compact(F.array(*(F.when(F.col("token").startswith(w[:-1]) if w.endswith("*") else F.col("token") == w, F.lit(k)) for k, w in enumerate(words))))
-    hits = tokens.where(F.size(which) > 0) if len(words) == 1 else tokens.withColumn("_w", which).where(F.size("_w") > 0)
-    hits = hits.select(*KEY, "n", F.explode(which).alias("k"))
-    tf = hits.groupBy(*KEY, "k").agg(F.sum("n").cast("double").alias("tf"))
+    from palimpsest.functions.text import split_words
+
+    phrases = [(split_words(w), w.endswith("*")) for w in words]
+    parts = [(k, i, t, prefix and i == len(ts) - 1) for k, (ts, prefix) in enumerate(phrases) for i, t in enumerate(ts)]
+    fits = [F.col("token").startswith(t) if prefix else F.col("token") == t for _, _, t, prefix in parts]
+    any_ = F.lit(False)
+    for f in fits:
+        any_ = any_ | f
+    which = F.array_compact(F.array(*(F.when(f, F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"))) for f, (k, i, _, _) in zip(fits, parts, strict=True)))) if parts else F.array().cast("array<struct<k:int,i:int>>")
+    found = tokens.where(any_).select(*KEY, "path", "pos", F.explode(which).alias("w")).select(*KEY, "path", "w.k", (F.col("pos") - F.col("w.i")).alias("start"))
+    if any(len(ts) > 1 for ts, _ in phrases):
+        length = F.element_at(F.array(*(F.lit(len(ts)) for ts, _ in phrases)), F.col("k") + 1)
+        found = found.groupBy(*KEY, "path", "k", "start").agg(F.count("*").alias("_n")).where(F.col("_n") == length)
+    tf = found.groupBy(*KEY, "k").agg(F.count("*").cast("double").alias("tf"))
     return tf.groupBy(*KEY).agg(F.count("*").alias("_n"), F.sum(F.col("tf") * 2.2 / (F.col("tf") + 1.2)).alias("score")).where(F.col("_n") == len(words)).drop("_n")
 
 
@@ -132,26 +144,49 @@ def ref_matches(target: str) -> Column:
 
 
 def run(query: Query, index: Index, allowed: Column | None = None) -> DataFrame:
-    """A page of hits in order, with sort keys as columns k0, k1, ... and position.
+    """A page of hits in order, with sort keys as columns k0, k1, ...
 
     Order: the sort keys (missing last in both directions), else by score with words, else by name; ties by name.
     By name, after is a keyset bound; with words or sort, offset counts positions.
     """
+    return _ordered(query, index, allowed).limit(query.limit).drop(*(f"_k{k}" for k in range(len(query.sort))))
+
+
+def run_page(query: Query, index: Index, allowed: Column | None = None) -> DataFrame:
+    """run() with next: where the following page begins (a position with words or sort, else a name), null if there is none.
+
+    One hit more than the page is taken, so the order over the page is of a hundred rows at most.
+    """
+    keys = [k for k, _ in _order(query)]
+    top = _ordered(query, index, allowed).limit(query.limit + 1)
+    w = Window.partitionBy(F.lit(0)).orderBy(*(c for _, c in _order(query)), "ns", "resource")
+    top = top.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    last = F.max(F.when(F.col("_rn") == query.limit, F.col("resource"))).over(Window.partitionBy(F.lit(0)))
+    place = F.lit(str(query.offset + query.limit)) if keys else last
+    return top.withColumn("next", F.when(F.col("_n") > query.limit, place)).where(F.col("_rn") <= query.limit).drop("_rn", "_n", *(f"_k{k}" for k in range(len(query.sort))))
+
+
+def _order(query: Query) -> list[tuple[str, Column]]:
+    keys = [(f"_k{k}", F.col(f"_k{k}").desc_nulls_last() if path.startswith("-") else F.col(f"_k{k}").asc_nulls_last()) for k, path in enumerate(query.sort)]
+    return keys or ([("score", F.desc("score"))] if query.words else [])
+
+
+def _ordered(query: Query, index: Index, allowed: Column | None) -> DataFrame:
     found = hits(query, index, allowed)
-    keys: list[Column] = []
     for k, path in enumerate(query.sort):
         name = path.removeprefix("-")
         least = least_values(index.sort.where(F.col("path") == name) if not query.ns else index.sort.where((F.col("ns") == query.ns) & (F.col("path") == name)))
         found = found.join(least.select(*KEY, F.struct("rank", "num", "str", "bool").alias(f"_k{k}"), F.col("raw").alias(f"k{k}")), KEY, "left")
-        keys.append(F.col(f"_k{k}").desc_nulls_last() if path.startswith("-") else F.col(f"_k{k}").asc_nulls_last())
-    if not keys and query.words:
-        keys = [F.desc("score")]
+    keys = [c for _, c in _order(query)]
     if query.after is not None and not keys:
         found = found.where(F.col("resource") > query.after)
     page = found.orderBy(*keys, "ns", "resource")
-    if query.offset and keys:
-        page = page.offset(query.offset)
-    return page.limit(query.limit).drop(*(f"_k{k}" for k in range(len(query.sort))))
+    return page.offset(query.offset) if query.offset and keys else page
+
+
+def at_least(query: Query, index: Index, most: int, allowed: Column | None = None) -> DataFrame:
+    """(n): how many documents match, counted no further than `most`."""
+    return hits(query, index, allowed).limit(most).agg(F.count("*").alias("n"))
 
 
 def facet_counts(query: Query, index: Index, allowed: Column | None = None) -> DataFrame:
@@ -161,12 +196,25 @@ def facet_counts(query: Query, index: Index, allowed: Column | None = None) -> D
     return rows.join(found.select(*KEY), KEY, "left_semi").groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
-def with_values(page: DataFrame, index: Index) -> DataFrame:
-    """The page's hits with facets (path to values) and sorts (path to raw value); only the page's rows are looked up."""
+def with_values(page: DataFrame, index: Index, fields: tuple[str, ...] = (), docs: DataFrame | None = None) -> DataFrame:
+    """The page's hits with facets (path to values) and sorts (path to raw value); only the page's rows are looked up.
+
+    A path that is both shows its facet values only. fields are further pointers, taken from docs (ns, resource, doc as
+    JSON text) into fields (pointer to JSON text).
+    """
     small = page.select(*KEY)
     facets = index.facet.join(small, KEY, "left_semi").groupBy(*KEY, "path").agg(F.sort_array(F.collect_set("value")).alias("v")).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("path", "v"))).alias("facets"))
-    sorts = least_values(index.sort.join(small, KEY, "left_semi")).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("path", "raw"))).alias("sorts"))
-    return page.join(facets, KEY, "left").join(sorts, KEY, "left")
+    sorts = least_values(index.sort.where(~F.col("path").isin(sorted(index.marked.get("facet", ())))) if index.marked.get("facet") else index.sort)
+    sorts = sorts.join(small, KEY, "left_semi").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("path", "raw"))).alias("sorts"))
+    out = page.join(facets, KEY, "left").join(sorts, KEY, "left")
+    if not fields:
+        return out
+    from palimpsest.functions.variant import get
+
+    value = F.try_parse_json("doc")
+    entries = F.array_compact(F.array(*(F.when(get(value, p).isNotNull(), F.struct(F.lit(p).alias("key"), F.to_json(get(value, p)).alias("value"))) for p in fields)))
+    chosen = docs.join(small, KEY, "left_semi").select(*KEY, F.map_from_entries(entries).alias("fields"))
+    return out.join(chosen, KEY, "left")
 
 
 def referrers(refs: DataFrame, target: str, after: tuple[str, str] | None = None, limit: int = 100) -> DataFrame:

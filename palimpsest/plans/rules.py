@@ -6,7 +6,8 @@ evaluator are unknown (SQL null). Combinators are SQL's own three-valued logic.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,13 +20,20 @@ INSTANT = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:[0-5]\d)(?:\.(\d+))?(Z|[+-]\d{2}:\d{
 
 @dataclass(frozen=True)
 class Envelope:
-    """value: the change envelope as a variant; writes: array of arrays of segments; hidden: members that are unknown."""
+    """value: the change envelope as a variant; writes: array of arrays of segments; hidden: members that are unknown.
 
-    value: Column
+    columns: pointers whose values are real columns of the rows, as (string | number | boolean, column), null if missing.
+    Conditions on them are plain comparisons, which reach the scan; all other pointers are looked up in value.
+    """
+
+    value: Column | None = None
     writes: Column | None = None
     hidden: frozenset[str] = frozenset()
+    columns: Mapping[str, tuple[str, Column]] = field(default_factory=dict)
 
     def at(self, pointer: str) -> Column:
+        if pointer in self.columns:
+            return F.when(self.columns[pointer][1].isNotNull(), get(F.parse_json(F.to_json(F.array(self.columns[pointer][1]))), "/0"))
         return get(self.value, pointer)
 
     def unknown(self, pointer: str) -> bool:
@@ -51,6 +59,36 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce((kind(a) == kind(b)) & scalar, F.lit(False))
 
 
+def _kind_of(literal) -> str:  # noqa: ANN001
+    return "boolean" if isinstance(literal, bool) else "number" if isinstance(literal, int | float) else "string" if isinstance(literal, str) else "other"
+
+
+def _typed(rule: dict, columns: Mapping[str, tuple[str, Column]]) -> Column | None:
+    """A leaf over a typed column as a condition that is never null, or None if it has no such form."""
+    if rule.get("path") not in columns:
+        return None
+    kind_, column = columns[rule["path"]]
+    fits = lambda x: _kind_of(x) == kind_
+    if rule["op"] == "test":
+        if "exists" in rule:
+            return column.isNotNull() if rule["exists"] else column.isNull()
+        if "value" in rule:
+            return column.eqNullSafe(F.lit(rule["value"])) if fits(rule["value"]) else F.lit(False)
+        return None
+    (name, other), *_ = [(k, v) for k, v in rule.items() if k in ("eq", "lt", "le", "gt", "ge", "in")]
+    if "path" in other:
+        return None
+    x = other["value"]
+    if name == "in":
+        same = [y for y in x if fits(y)]
+        return column.isNotNull() & column.isin(same) if same else F.lit(False)
+    if name == "eq":
+        return column.eqNullSafe(F.lit(x)) if fits(x) else F.lit(False)
+    if kind_ != "number":
+        return None if kind_ == "string" else F.lit(False)
+    return column.isNotNull() & {"lt": column < x, "le": column <= x, "gt": column > x, "ge": column >= x}[name] if fits(x) else F.lit(False)
+
+
 def compile_rule(rule: dict, envelope: Envelope) -> Column:
     """The condition of one rule; ValueError for a form that rules don't have."""
     unknown = F.lit(None).cast("boolean")
@@ -63,6 +101,8 @@ def compile_rule(rule: dict, envelope: Envelope) -> Column:
     if "if" in rule:
         return ~_fold(rule["if"], envelope, True) | _fold(rule["then"], envelope, True)
     op = rule.get("op")
+    if op in ("test", "compare") and not envelope.unknown(rule["path"]) and (found := _typed(rule, envelope.columns)) is not None:
+        return found
     if op == "writes":
         if "writes" in envelope.hidden or envelope.writes is None:
             return unknown
@@ -118,9 +158,29 @@ def first_failure(rules: list[dict], envelope: Envelope) -> Column:
     return out
 
 
+def failing_path(rule: dict, envelope: Envelope) -> Column:
+    """The path of the first leaf that makes a rule fail, or null: of `all` its first part that isn't true, of `if` that of
+    its consequence, of a leaf its own; `any` and `not` fail as a whole, by their first path."""
+    false = ~F.coalesce(compile_rule(rule, envelope), F.lit(False))
+    if "all" in rule or "if" in rule:
+        return F.when(false, F.coalesce(*(failing_path(r, envelope) for r in rule["all" if "all" in rule else "then"]), F.lit(None).cast("string")))
+    return F.when(false, F.lit(_first_path(rule)))
+
+
+def _first_path(rule: dict) -> str | None:
+    if rule.get("op") == "writes":
+        return "/writes"
+    if "path" in rule:
+        return rule["path"]
+    inside = [rule["not"]] if "not" in rule else rule.get("any") or rule.get("all") or rule.get("then") or []
+    return next((p for r in inside if (p := _first_path(r)) is not None), None)
+
+
 def passes(rules: list[dict], envelope: Envelope) -> Column:
     """Whether all rules are true."""
-    return F.coalesce(_fold(rules, envelope, True), F.lit(False))
+    found = _fold(rules, envelope, True)
+    # Only hidden members and writes can be unknown; without them the condition stays bare, so that its parts reach the scan.
+    return F.coalesce(found, F.lit(False)) if envelope.hidden or any("writes" in members_read(r) for r in rules) else found
 
 
 def reader_filter(blocks: list[list[dict]], roles: list[list[dict]], envelope: Envelope) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.json_text import canonical_json
+
 LINE = "type string, ns string, resource string, seq long, id string, parent string, kind string, patches string"
 
 
@@ -16,22 +18,48 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("_l.*", "raw", (~known).alias("wrong"))
 
 
-def digest(lines: DataFrame) -> DataFrame:
-    """(lines, digest): an order-free digest of a bundle's lines, combined task by task."""
-    return lines.agg(F.count("*").alias("lines"), F.sha2(F.concat_ws(",", F.bit_xor(F.xxhash64("raw")).cast("string"), F.sum(F.xxhash64("raw").cast("decimal(38,0)")).cast("string")), 256).alias("digest"))
+def misformed(lines: DataFrame) -> DataFrame:
+    """The lines of read_bundle() that aren't in canonical form or of no known type."""
+    return lines.where(F.col("wrong") | ~F.col("raw").eqNullSafe(canonical_json("raw")))
+
+
+def digest(lines: DataFrame, parts: int = 4096) -> DataFrame:
+    """(lines, digest): a content digest of a bundle's lines, whatever their order and files.
+
+    Each line's SHA-256 goes into one of `parts` by its first bytes; a part's sorted digests are hashed, and the parts'
+    hashes in turn, so no group holds more than a share of the bundle and none but hashes is gathered.
+    """
+    hashed = lines.select(F.sha2("raw", 256).alias("h"))
+    of = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(parts))
+    groups = hashed.groupBy(of.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda g: g["h"]), ""), 256).alias("digest"))
+
+
+def bundle_lines(revisions: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(place, ns, resource, seq, value): history lines in canonical form; place orders documents before what refers to them.
+
+    order: (node, level) of dependency_levels() over resources; those without a level (cycles) come last, by name.
+    """
+    keys = ["id", "kind", "ns", "parent", "patches", "resource", "seq"]
+    line = F.to_json(F.struct(*keys, F.lit("history").alias("type")), {"ignoreNullFields": "true"})
+    rows = revisions.select("ns", "resource", "seq", line.alias("value"))
+    if order is None:
+        return rows.select(F.lit(0).alias("place"), "*")
+    placed = rows.join(order.select(F.col("node").alias("resource"), "level"), "resource", "left")
+    return placed.select(F.coalesce("level", F.lit(2**31 - 1)).alias("place"), "ns", "resource", "seq", "value")
 
 
-def write_bundle(revisions: DataFrame, path: str, header: dict) -> None:
-    """Writes revisions as a bundle of ordered parts: the header, then history lines by namespace, resource and seq.
+def write_bundle(revisions: DataFrame, path: str, header: dict, order: DataFrame | None = None) -> None:
+    """Writes revisions as a bundle of ordered parts: the header, then history lines by place, namespace, resource and seq.
 
     Parts are ranges of the order, so a bundle of any size is sorted without passing one task; names sort as ranges do.
     """
     import json
 
     spark = revisions.sparkSession
-    lines = revisions.select("ns", "resource", "seq", F.to_json(F.struct(F.lit("history").alias("type"), "ns", "resource", "seq", "id", "parent", "kind", "patches")).alias("value"))
-    spark.createDataFrame([(json.dumps({"type": "header"} | header, separators=(",", ":")),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
-    lines.repartitionByRange("ns", "resource", "seq").sortWithinPartitions("ns", "resource", "seq").select("value").write.mode("overwrite").text(f"{path}/part=1")
+    keys = ["place", "ns", "resource", "seq"]
+    spark.createDataFrame([(json.dumps({"type": "header"} | header, separators=(",", ":"), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
+    bundle_lines(revisions, order).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(f"{path}/part=1")
 
 
 def archive(revisions: DataFrame, path: str) -> None:

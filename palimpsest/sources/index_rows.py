@@ -47,6 +47,50 @@ def marked_paths(schema: dict, root: dict | None = None, at: str = "", seen: tup
     return out
 
 
+#: Keywords whose values are collected as annotations, besides all that begin with x-.
+NOTES = ("title", "description", "default", "deprecated", "readOnly", "writeOnly", "examples")
+
+
+def noted_paths(schema: dict, root: dict | None = None, at: str = "", seen: tuple = ()) -> list[tuple[str, str, str]]:
+    """(path, keyword, value as JSON text) of the annotations of a schema, by the static walk of marked_paths()."""
+    import json
+
+    root = root or schema
+    out: list[tuple[str, str, str]] = []
+    if not isinstance(schema, dict):
+        return out
+    out += [(at, k, json.dumps(x, separators=(",", ":"), sort_keys=True)) for k, x in schema.items() if k in NOTES or k.startswith("x-")]
+    if (ref := schema.get("$ref", "")).startswith("#") and (ref, at) not in seen and len(seen) < 32:
+        target = root
+        for s in ref[1:].split("/")[1:]:
+            target = target[s.replace("~1", "/").replace("~0", "~")]
+        out += noted_paths(target, root, at, (*seen, (ref, at)))
+    for name, sub in schema.get("properties", {}).items():
+        out += noted_paths(sub, root, f"{at}/{name.replace('~', '~0').replace('/', '~1')}", seen)
+    for key in ("items", "if", "then", "else"):
+        if key in schema:
+            out += noted_paths(schema[key], root, at, seen)
+    for key in ("allOf", "anyOf", "oneOf", "prefixItems"):
+        for sub in schema.get(key, []):
+            out += noted_paths(sub, root, at, seen)
+    return out
+
+
+def annotations(docs: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """(ns, resource, path, keyword, note, value): the annotations that a document's schema makes on values it has.
+
+    docs: (ns, resource, schema, doc); note and value are JSON text, one row for each value at the path.
+    """
+    out = None
+    for reference, schema in schemas.items():
+        notes = noted_paths(schema)
+        listed = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(k).alias("keyword"), F.lit(x).alias("note"), F.transform(values_at(F.col("_v"), p), lambda v: F.to_json(v)).alias("values")) for p, k, x in notes))
+        rows = docs.where(F.col("schema") == reference).withColumn("_v", F.try_parse_json("doc")).select("ns", "resource", F.explode(listed).alias("n"))
+        rows = rows.select("ns", "resource", "n.path", "n.keyword", "n.note", F.explode("n.values").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def values_at(document: Column, pointer: str) -> Column:
     """The values at a path as an array of variants: arrays on the way and at the end are taken item by item."""
     found = F.array(document)
@@ -65,7 +109,7 @@ def _items(value: Column) -> Column:
 
 def _scalars(docs: DataFrame, paths: set[str]) -> DataFrame:
     listed = F.array(*(F.struct(F.lit(p).alias("path"), values_at(F.col("_v"), p).alias("values")) for p in sorted(paths)))
-    rows = docs.withColumn("_v", F.parse_json("doc")).select("ns", "resource", F.explode(listed).alias("x")).select("ns", "resource", "x.path", F.explode("x.values").alias("v"))
+    rows = docs.withColumn("_v", F.try_parse_json("doc")).select("ns", "resource", F.explode(listed).alias("x")).select("ns", "resource", "x.path", F.posexplode("x.values").alias("at", "v"))
     return rows.withColumn("kind", kind(F.col("v"))).where(F.col("kind").isin("string", "number", "boolean", "null"))
 
 
@@ -109,7 +153,7 @@ def build(docs: DataFrame, schemas: dict[str, dict]) -> Index:
             F.to_json("v").alias("raw"),
         )
     if tables["text"] is not None:
-        text = tables["text"].where("kind = 'string'").select("ns", "resource", "path", as_string(F.col("v")).alias("body"))
+        text = tables["text"].where("kind = 'string'").select("ns", "resource", "path", "at", as_string(F.col("v")).alias("body"))
     if tables["ref"] is not None:
         strings = tables["ref"].where("kind = 'string'").select("ns", "resource", "path", as_string(F.col("v")).alias("ref"))
         refs = parse_references(strings)
