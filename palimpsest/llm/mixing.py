@@ -6,15 +6,19 @@ of its source, and a source's blocks are cut from its documents in shuffled orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.text import durable, n_spaced, spaced, unused
 
 #: The sequence's modulus and multiplier: the odd number nearest to 2 ** 31 over the golden ratio.
 MODULUS, GOLDEN = 2**31, 1_327_217_885
-#: Slots, and documents, whose order is settled within one task.
+#: Slots, and documents, whose order is settled within one task, at least; of very many it is the root of their number.
 CHUNK = 1 << 12
+#: A source has so many blocks at least, and as many as keep a block at BLOCK words at most.
+BLOCKS, BLOCK = 512, 1 << 20
 #: Sources, at most: their totals are the only thing that reaches the driver.
 MOST_SOURCES = 100_000
 
@@ -42,78 +46,75 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, block: int = 1024) -> DataFrame:
-    """One row per row of docs: (id_col, size, source_size, target, taken).
+def _chunks(n: int) -> int:
+    """Into how many chunks n rows are dealt, so that neither a chunk nor the list of chunks is long."""
+    return -(-n // max(CHUNK, math.isqrt(n)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, blocks: int = BLOCKS, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: (id_col, size, source_size, target, taken, slot).
 
     size is the number of words (null and empty texts: 0), source_size and target are the source's, taken is how many
-    of the document's words the mix takes, repeats counted: 0 to 2 times its size. What a source's slots miss or exceed
-    of its target (the schedule's discrepancy, a last block of fewer words, no slot at all) is settled where its slots
-    end in its shuffled stream, so its taken words are its target to the nearest whole. Documents without words are taken
-    0 times. A null source is a source of its own, after all others; a null id stays null; repeated rows are documents
-    of their own with the same claims; other columns aren't read; an empty table gives an empty one. Results depend on
-    the rows alone, so reruns agree.
-
-    Documents are shuffled by a hash of their text and id. Their places in the source's stream of words, and the slots'
-    ranks in their source, are sums over chunks of about 4,096 plus sums within a chunk, so that no source, however
-    large, is ordered in one task. Blocks and slots then meet by (source, block).
+    of the document's words the mix takes, repeats counted: 0 to 2 times its size. slot is the place in the schedule of
+    the block in which the document begins, by which the mix can be put in order; null if no slot takes that block.
+
+    A source's documents, shuffled by a hash of their text and id, are a stream of words that is cut into equal blocks.
+    Each slot of the schedule goes to a source and takes its next block, and after the last one the first again. Weights
+    of sources are their targets in blocks, so each source has a few hundred slots at least and the sequence's
+    discrepancy is a few of them; the last slots are cut, or lengthened, where the source's words reach its target, so
+    that taken words are the target to the nearest whole. Documents without words are taken 0 times. A null source is a
+    source of its own, after all others; a null id stays null; repeated rows are documents of their own, one after the
+    other; other columns aren't read; an empty table gives an empty one. Results depend on the rows alone, so reruns
+    agree.
+
+    Equal rows are counted before anything is ordered. Places in a source's stream, and slots' ranks in their source,
+    are sums over chunks plus sums within a chunk, so that no source, however large, is ordered in one task.
     """
     words = n_spaced(spaced(F.coalesce(F.col(text_col), F.lit("")))).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text_col, F.col(id_col).cast("string")).alias("h"))
-    rows = durable(rows)
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    rows = durable(rows.groupBy("id", "source", "size", "h").agg(F.count("*").alias("copies")))
+    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sizes = {r["source"]: r["size"] for r in totals}
-    n_docs = {r["source"]: r["n"] for r in totals}
     goal = targets(sizes, weights, share)
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    n_docs = {r["source"]: r["n"] for r in totals}
+    n_blocks = {s: max(blocks, -(-sizes[s] // block)) for s in order}
     spark = docs.sparkSession
-    table = spark.createDataFrame([(k, s, sizes[s], goal[s], max(1, -(-sizes[s] // block)), -(-n_docs[s] // CHUNK), min(round(goal[s]), 2 * sizes[s])) for k, s in enumerate(order)], "k int, name string, source_size long, target double, n_blocks long, n_chunks long, whole long")
-    # Bounded by MOST_SOURCES rows of a few numbers; a larger table is joined by a shuffle.
+    # Bounded by MOST_SOURCES rows of a few numbers.
+    table = spark.createDataFrame([(k, s, sizes[s], goal[s], n_blocks[s], _chunks(n_docs[s]), min(round(goal[s]), 2 * sizes[s])) for k, s in enumerate(order)], "k int, name string, source_size long, target double, n_blocks long, n_chunks long, whole long")
     rows = rows.join(table, F.col("source").eqNullSafe(F.col("name")))
 
     # A document's place in its source's shuffled stream of words.
-    rows = rows.withColumn("chunk", F.pmod(F.shiftrightunsigned("h", 40), F.col("n_chunks")))
-    chunks = rows.groupBy("k", "chunk").agg(F.sum("size").alias("words"))
+    rows = rows.withColumn("chunk", F.pmod(F.shiftrightunsigned("h", 20), F.col("n_chunks")))
+    chunks = rows.groupBy("k", "chunk").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     before = F.sum("words").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     chunks = chunks.select("k", "chunk", F.coalesce(before, F.lit(0)).alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("k", "chunk").orderBy("h", F.col("id").cast("string"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.withColumn("end", inside).join(chunks, ["k", "chunk"]).withColumn("start", F.col("base") + F.col("end") - F.col("size"))
-
-    # Slots: the t-th point of the sequence falls into a source's part of the cumulative weights.
-    total = sum(goal.values())
-    n_slots = round(total / block)
-    taken = durable(slots_by_block(spark, [goal[s] for s in order], [max(1, -(-sizes[s] // block)) for s in order], n_slots))
-    doc = ["id", "k", "start", "size", "source_size", "target", "whole"]
-    segments = placed.where("size > 0").select(*doc, F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("b"))
-    met = segments.join(taken, ["k", "b"], "left")
-    overlap = F.least((F.col("b") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("b") * block, F.col("start"))
-    with_words = met.groupBy(*doc).agg(F.sum(overlap * F.coalesce("times", F.lit(0))).cast("long").alias("slotted"))
-
-    # Slots take a source's blocks in order, so they end after `ended` words of its stream, told twice; the target does
-    # after `whole`. The words between are added or taken away.
-    block_words = F.least((F.col("b") + 1) * block, F.col("source_size")) - F.col("b") * block
-    ended = taken.join(table.select("k", "source_size"), "k").groupBy("k").agg(F.sum(block_words * F.col("times")).alias("ended"))
-    with_words = with_words.join(durable(ended), "k", "left").withColumn("ended", F.coalesce("ended", F.lit(0)))
-
-    def within(end: str) -> Column:
-        once, again = (F.least(F.greatest(F.col(end) - first - F.col("start"), F.lit(0)), F.col("size")) for first in (F.lit(0), F.col("source_size")))
-        return once + again
-
-    with_words = with_words.select(*doc, (F.col("slotted") + within("whole") - within("ended")).cast("long").alias("taken"))
-    without = placed.where("size = 0").select(*doc, F.lit(0).cast("long").alias("taken"))
-    return with_words.union(without).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
-
-
-def slots_by_block(spark, goal: list[float], n_blocks: list[int], n_slots: int) -> DataFrame:  # noqa: ANN001
-    """(k, b, times): how many of the schedule's slots take block b of source k.
-
-    The r-th slot of a source takes its block r modulo its number of blocks; slots past the second round are left out,
-    since no document may be taken more than twice.
+    all_ = F.col("size") * F.col("copies")
+    inside = F.sum(all_).over(Window.partitionBy("k", "chunk").orderBy("h", F.col("id").cast("string"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.withColumn("end", inside).join(chunks, ["k", "chunk"]).withColumn("first", F.col("base") + F.col("end") - all_)
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
+
+    # Of the stream, told twice, the mix takes what comes before the target.
+    once, again = (F.least(F.greatest(F.col("whole") - first - F.col("start"), F.lit(0)), F.col("size")) for first in (F.lit(0), F.col("source_size")))
+    begins = F.floor(F.col("start") * F.col("n_blocks") / F.greatest("source_size", F.lit(1)))
+    placed = placed.select("id", "k", "size", "source_size", "target", (once + again).cast("long").alias("taken"), F.when(F.col("size") > 0, begins).alias("r"))
+    shares = [goal[s] / sizes[s] * n_blocks[s] if sizes[s] else 0.0 for s in order]
+    slots = schedule(spark, shares, round(sum(shares)))
+    out = placed.join(slots, ["k", "r"], "left")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("slot")).alias("slot"))
+
+
+def schedule(spark: SparkSession, shares: list[float], n_slots: int) -> DataFrame:
+    """(k, r, slot): the schedule's slots, with the source k that each goes to and its rank r among that source's.
+
+    Slot t is the t-th point of the golden-ratio sequence, and goes to the source in whose part of the cumulative shares
+    the point falls. The sequence repeats after MODULUS slots.
     """
-    total = sum(goal) or 1.0
+    total = sum(shares) or 1.0
     bounds, at = [], 0.0
-    for g in goal:
+    for g in shares:
         at += g
         bounds.append(at / total)
 
@@ -125,20 +126,15 @@ def slots_by_block(spark, goal: list[float], n_blocks: list[int], n_slots: int)
         # Sources without a target have an empty part, which no point falls into.
         return pd.Series(np.minimum(np.searchsorted(np.array(bounds), point.to_numpy(), side="right"), len(bounds) - 1).astype("int32"))
 
-    t = F.col("id").bitwiseAND(F.lit(MODULUS - 1))
+    t = F.col("slot").bitwiseAND(F.lit(MODULUS - 1))
     point = ((t * GOLDEN + MODULUS // 2) % MODULUS).cast("double") / MODULUS
-    slots = spark.range(n_slots).select("id", F.floor(F.col("id") / CHUNK).alias("chunk"), source_of(point).alias("k"))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot")).select("slot", F.floor(F.col("slot") / max(CHUNK, math.isqrt(n_slots))).alias("chunk"), source_of(point).alias("k"))
+    slots = durable(slots)
     counts = slots.groupBy("k", "chunk").agg(F.count("*").alias("n"))
     base = F.sum("n").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("k", "chunk", F.coalesce(base, F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("k", "chunk").orderBy("id"))
-    ranked = slots.withColumn("r", rank - 1).join(counts, ["k", "chunk"]).select("k", (F.col("base") + F.col("r")).alias("r"))
-    blocks = F.element_at(F.array(*map(F.lit, n_blocks)), F.col("k") + 1) if len(n_blocks) <= 1000 else None
-    if blocks is None:
-        known = spark.createDataFrame(list(enumerate(n_blocks)), "k int, n_blocks long")
-        ranked = ranked.join(known, "k")
-        blocks = F.col("n_blocks")
-    return ranked.where(F.col("r") < 2 * blocks).select("k", (F.col("r") % blocks).alias("b")).groupBy("k", "b").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("k", "chunk").orderBy("slot"))
+    return slots.withColumn("_rank", rank - 1).join(counts, ["k", "chunk"]).select("k", (F.col("base") + F.col("_rank")).alias("r"), "slot")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -146,10 +142,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     A source's slots take its blocks in order, so but for the one document in which a source's target ends, documents
     are taken a whole number of times, and rounding moves a source by half of that document at most. Documents of
-    equal id and size are taken alike. Documents without words aren't taken.
+    equal id and size are taken alike. Documents without words aren't taken. Columns of any names stay as they are.
     """
+    key, words, size, times, copy = (unused(docs, name) for name in ("__id__", "__words__", "__size__", "__times__", "__copy__"))
     taken = mix(docs, id_col, text_col, source_col, **how)
-    times = taken.where("size > 0").groupBy(F.col(id_col).alias("__id__"), F.col("size").alias("__size__")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__times__")).where("__times__ > 0")
-    size = n_spaced(spaced(F.coalesce(F.col(text_col), F.lit("")))).cast("long")
-    out = docs.withColumn("__words__", size).join(times, docs[id_col].eqNullSafe(F.col("__id__")) & (F.col("__words__") == F.col("__size__")))
-    return out.withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("__times__")))).select(*(docs[c] for c in docs.columns))
+    often = taken.where("size > 0").groupBy(F.col(id_col).alias(key), F.col("size").alias(size)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(times)).where(F.col(times) > 0)
+    out = docs.withColumn(words, n_spaced(spaced(F.coalesce(F.col(text_col), F.lit("")))).cast("long"))
+    out = out.join(often, docs[id_col].eqNullSafe(often[key]) & (F.col(words) == often[size]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(docs[c] for c in docs.columns))

@@ -32,6 +32,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Rows of a few numbers (50 bytes, about) that are broadcast at most: 20 MB.
+MOST_BROADCAST = 400_000
+
+
+def checked(table: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it is counted to hold no more than MOST_BROADCAST narrow rows.
+
+    weight: how many narrow rows a row stands for (its array's length). A larger table is joined by a shuffle.
+    """
+    n = table.agg(F.sum(weight if weight is not None else F.lit(1))).first()[0] or 0
+    return F.broadcast(table) if n <= MOST_BROADCAST else table
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as no column of df has."""
     taken = {c.lower() for c in df.columns}
