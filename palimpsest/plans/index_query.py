@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["ns", "resource"]
@@ -157,13 +157,10 @@ def run_page(query: Query, index: Index, allowed: Column | None = None) -> DataF
 
     One hit more than the page is taken, so the order over the page is of a hundred rows at most.
     """
-    keys = [k for k, _ in _order(query)]
-    top = _ordered(query, index, allowed).limit(query.limit + 1)
-    w = Window.partitionBy(F.lit(0)).orderBy(*(c for _, c in _order(query)), "ns", "resource")
-    top = top.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    last = F.max(F.when(F.col("_rn") == query.limit, F.col("resource"))).over(Window.partitionBy(F.lit(0)))
-    place = F.lit(str(query.offset + query.limit)) if keys else last
-    return top.withColumn("next", F.when(F.col("_n") > query.limit, place)).where(F.col("_rn") <= query.limit).drop("_rn", "_n", *(f"_k{k}" for k in range(len(query.sort))))
+    top = _ordered(query, index, allowed).limit(query.limit + 1).drop(*(f"_k{k}" for k in range(len(query.sort))))
+    rows = top.agg(F.collect_list(F.struct(*top.columns)).alias("r"))
+    place = F.lit(str(query.offset + query.limit)) if _order(query) else F.get("r", F.lit(query.limit - 1))["resource"]
+    return rows.select(F.when(F.size("r") > query.limit, place).alias("next"), F.explode(F.slice("r", 1, query.limit)).alias("h")).select("h.*", "next")
 
 
 def _order(query: Query) -> list[tuple[str, Column]]:

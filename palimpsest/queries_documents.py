@@ -227,17 +227,13 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""with t as (select doc_id, i, p[i] as token from (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}]+') as p from documents), unnest(range(1, len(p) + 1)) r(i)),
   h as (select a.doc_id, count(*)::double as tf from t a join t b on a.doc_id = b.doc_id and b.i = a.i + 1 where a.token = 'of' and b.token like 'the%' group by 1)
-  select doc_id::varchar as resource, round(tf * 2.2 / (tf + 1.2), 9) as score, row_number() over (order by round(tf * 2.2 / (tf + 1.2), 9) desc, doc_id::varchar) <= 5 as first, case when count(*) over () > 10 then '10' end as next from h
+  select doc_id::varchar as resource, round(tf * 2.2 / (tf + 1.2), 9) as score, case when count(*) over () > 10 then '10' end as next from h
   qualify row_number() over (order by round(tf * 2.2 / (tf + 1.2), 9) desc, doc_id::varchar) <= 10""")
 def relevance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page by score for a phrase in texts, with where the next one begins."""
-    from pyspark.sql import Window
-
     texts = tables.document_texts(spark, sf_dir)
-    tokens = text_functions.tokens(texts)
-    index = Index(texts.select("ns", "resource", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("schema")), tokens=tokens)
-    page = index_query.run_page(Query(words=("of the*",), limit=10), index).select("resource", F.round("score", 9).alias("score"), "next")
-    return page.withColumn("first", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "resource")) <= 5)
+    index = Index(texts.select("ns", "resource", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("schema")), tokens=text_functions.tokens(texts))
+    return index_query.run_page(Query(words=("of the*",), limit=10), index).select("resource", F.round("score", 9).alias("score"), "next")
 
 
 @query(f"""with h as (select {NAME} as resource from orders where o_orderstatus = 'P' and {NAME} > '0000000200' order by 1 limit 21)

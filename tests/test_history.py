@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import json_text as J
 from palimpsest.operators import history as H
 
 
@@ -70,15 +71,27 @@ def test_documents(spark):
     assert [set(json.loads(r[0])) for r in left] == [{"a"}, {"$nonce", "a"}]
     schema = {"required": ["a", "z"], "properties": {"a": {"type": "string"}, "b": {"type": "number"}}}
     bad = spark.createDataFrame([('{"a":1,"b":"x"}',), ('{"a":"s","z":1}',)], "d string").select(H.failures(schema, F.parse_json("d"))).collect()
-    assert [r[0] for r in bad] == [["/a", "/b", "/z"], []]
+    assert [r[0] for r in bad] == [["", "/a", "/b"], []]
     assert docs.where("doc <> '{'").select(H.pretty("doc")).collect()[1][0] == '{\n  "$nonce": "short",\n  "a": "x"\n}\n'
 
 
-def test_answers_are_kept(spark):
-    kept, made = H.Answers(2), []
-    make = lambda: made.append(1) or spark.range(3)
-    for at in ("1", "1", "2", "1", "3", "2"):
-        assert kept.get("n", at, "q", make).count() == 3
-    assert len(made) == 4
-    kept.drop("n")
-    assert not kept.kept
+def test_rows_that_are_not_json_give_errors_and_not_a_failed_job(spark):
+    deep = "[" * 3000 + "]" * 3000
+    rows = [("{", "{}", "{}"), (None, "{}", "{}"), (deep, "{}", deep), ("{}", '{"a":1}', "{}")]
+    docs = spark.createDataFrame(rows, "a string, b string, c string")
+    saved = docs.select(H.save_against("a", "b", "c").alias("s")).select("s.*").collect()
+    assert saved[0].error and saved[0].patches is None and saved[1].patches is None and saved[1].error is None and json.loads(saved[3].patches)[0]["op"] == "add"
+    assert [r[0] for r in docs.select(H.pretty("a")).collect()][0::3] == [None, "{}\n"] and docs.select(H.pretty("a")).count() == 4
+    assert docs.select(H.inverse_patch("a", "b", "c", F.array(F.lit("/a"))).alias("i")).where("i.error is not null").count() >= 1
+    assert [r[0] for r in docs.select(J.json_diff("a", "b")).collect()][:2] == [None, None]
+    patched = docs.select(J.json_patch(F.col("b"), F.col("a")).alias("p")).select("p.*").collect()
+    assert patched[0].error and patched[1].error is None and patched[2].error
+    over = H.over_limits(docs.select(F.col("a").alias("doc")), 10_000, 64)
+    assert [r.over for r in over.collect()][:2] == ["invalid", None]
+
+
+def test_widened_writes(spark):
+    start = '{"l":[[1,2],3],"k":1}'
+    steps = ['[{"op":"replace","path":"/l/0/1","value":5}]', '[{"op":"copy","from":"/k","path":"/m"}]']
+    got = spark.createDataFrame([(start, steps, True), (start, steps, False), ("{", steps, True)], "s string, p array<string>, c boolean").select(H.folded_writes("s", "p", "c").alias("f")).select("f.*").collect()
+    assert got[0].writes == ["/l", "/m", "/k"] and got[1].writes == ["/l", "/m"] and got[2].error

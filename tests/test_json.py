@@ -32,27 +32,45 @@ def test_numbers_round_trip():
         assert float(J.number_text(x)) == x
 
 
+#: RFC 6902 appendix A (A.1 to A.12, A.14 to A.16): documents, operations, results (None: it fails).
+APPENDIX = [
+    ({"foo": "bar"}, [{"op": "add", "path": "/baz", "value": "qux"}], {"baz": "qux", "foo": "bar"}),
+    ({"foo": ["bar", "baz"]}, [{"op": "add", "path": "/foo/1", "value": "qux"}], {"foo": ["bar", "qux", "baz"]}),
+    ({"baz": "qux", "foo": "bar"}, [{"op": "remove", "path": "/baz"}], {"foo": "bar"}),
+    ({"foo": ["bar", "qux", "baz"]}, [{"op": "remove", "path": "/foo/1"}], {"foo": ["bar", "baz"]}),
+    ({"baz": "qux", "foo": "bar"}, [{"op": "replace", "path": "/baz", "value": "boo"}], {"baz": "boo", "foo": "bar"}),
+    ({"foo": {"bar": "baz", "waldo": "fred"}, "qux": {"corge": "grault"}}, [{"op": "move", "from": "/foo/waldo", "path": "/qux/thud"}], {"foo": {"bar": "baz"}, "qux": {"corge": "grault", "thud": "fred"}}),
+    ({"foo": ["all", "grass", "cows", "eat"]}, [{"op": "move", "from": "/foo/1", "path": "/foo/3"}], {"foo": ["all", "cows", "eat", "grass"]}),
+    ({"baz": "qux", "foo": ["a", 2, "c"]}, [{"op": "test", "path": "/baz", "value": "qux"}, {"op": "test", "path": "/foo/1", "value": 2}], {"baz": "qux", "foo": ["a", 2, "c"]}),
+    ({"baz": "qux"}, [{"op": "test", "path": "/baz", "value": "bar"}], None),
+    ({"foo": "bar"}, [{"op": "add", "path": "/child", "value": {"grandchild": {}}}], {"foo": "bar", "child": {"grandchild": {}}}),
+    ({"foo": "bar"}, [{"op": "add", "path": "/baz", "value": "qux", "xyz": 123}], {"foo": "bar", "baz": "qux"}),
+    ({"foo": "bar"}, [{"op": "add", "path": "/baz/bat", "value": "qux"}], None),
+    ({"/": 9, "~1": 10}, [{"op": "test", "path": "/~01", "value": 10}], {"/": 9, "~1": 10}),
+    ({"/": 9, "~1": 10}, [{"op": "test", "path": "/~01", "value": "10"}], None),
+    ({"foo": ["bar"]}, [{"op": "add", "path": "/foo/-", "value": ["abc", "def"]}], {"foo": ["bar", ["abc", "def"]]}),
+]
 #: Documents, operations, result (None: it fails) and writes.
 PATCHES = [
-    ({"foo": "bar"}, [{"op": "add", "path": "/baz", "value": "qux"}], {"baz": "qux", "foo": "bar"}, ["/baz"]),
-    ({"foo": ["bar", "baz"]}, [{"op": "add", "path": "/foo/1", "value": "qux"}], {"foo": ["bar", "qux", "baz"]}, ["/foo", "/foo/1"]),
-    ({"baz": "qux", "foo": "bar"}, [{"op": "remove", "path": "/baz"}], {"foo": "bar"}, ["/baz"]),
-    ({"foo": ["bar", "qux", "baz"]}, [{"op": "remove", "path": "/foo/1"}], {"foo": ["bar", "baz"]}, ["/foo", "/foo/1"]),
-    ({"baz": "qux"}, [{"op": "replace", "path": "/baz", "value": "boo"}], {"baz": "boo"}, ["/baz"]),
-    ({"foo": {"bar": "baz", "waldo": "fred"}, "qux": {}}, [{"op": "move", "from": "/foo/waldo", "path": "/qux/thud"}], {"foo": {"bar": "baz"}, "qux": {"thud": "fred"}}, ["/foo/waldo", "/qux/thud"]),
-    ({"foo": ["all", "grass", "cows", "eat"]}, [{"op": "move", "from": "/foo/1", "path": "/foo/3"}], {"foo": ["all", "cows", "eat", "grass"]}, ["/foo", "/foo/1", "/foo/3"]),
-    ({"baz": "qux", "foo": ["a", 2, "c"]}, [{"op": "test", "path": "/foo/1", "value": 2.0}], {"baz": "qux", "foo": ["a", 2, "c"]}, []),
-    ({"baz": "qux"}, [{"op": "test", "path": "/baz", "value": "bar"}], None, None),
-    ({"foo": ["bar"]}, [{"op": "add", "path": "/foo/-", "value": ["abc", "def"]}], {"foo": ["bar", ["abc", "def"]]}, ["/foo/1"]),
-    ({"foo": "bar"}, [{"op": "add", "path": "/baz/bat", "value": "qux"}], None, None),
-    ({"/": 9, "~1": 10}, [{"op": "test", "path": "/~01", "value": 10}], {"/": 9, "~1": 10}, []),
-    (None, [{"op": "add", "path": "", "value": {"t": 1}}], {"t": 1}, [""]),
-    ({"a": 1}, [{"op": "add", "path": "/$nonce", "value": "a" * 26}, {"op": "copy", "from": "/a", "path": "/b"}], {"$nonce": "a" * 26, "a": 1, "b": 1}, ["/b"]),
-    ({"a": {"b": 1}}, [{"op": "move", "from": "/a", "path": "/a/c"}], None, None),
-    ({"a": [1]}, [{"op": "replace", "path": "/a/01", "value": 1}], None, None),
+    (None, [{"op": "add", "path": "", "value": {"quay": 4}}], {"quay": 4}, [""]),
+    ({"quays": [1, 2, 3]}, [{"op": "add", "path": "/quays/0", "value": 9}], {"quays": [9, 1, 2, 3]}, ["/quays", "/quays/0"]),
+    ({"quays": [1, 2, 3]}, [{"op": "remove", "path": "/quays/2"}], {"quays": [1, 2]}, ["/quays/2"]),
+    ({"quays": [1]}, [{"op": "add", "path": "/quays/-", "value": 2}], {"quays": [1, 2]}, ["/quays/1"]),
+    ({"tug": "t1"}, [{"op": "add", "path": "/$nonce", "value": "q" * 26}, {"op": "copy", "from": "/tug", "path": "/spare"}], {"$nonce": "q" * 26, "tug": "t1", "spare": "t1"}, ["/spare"]),
+    ({"crew": {"mate": 1}}, [{"op": "move", "from": "/crew", "path": "/crew/mate"}], None, None),
+    ({"quays": [1]}, [{"op": "replace", "path": "/quays/00", "value": 1}], None, None),
+    ({"quays": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]}, [{"op": "remove", "path": "/quays/1\u0660"}], None, None),
+    ({"quays": [1]}, [{"path": "/quays"}], None, None),
 ]
 
 
+def test_appendix(spark):
+    rows = [(i, json.dumps(d), json.dumps(o)) for i, (d, o, _) in enumerate(APPENDIX)]
+    for r in spark.createDataFrame(rows, "i int, d string, o string").select("i", J.json_patch("d", "o").alias("r")).select("i", "r.*").collect():
+        want = APPENDIX[r.i][2]
+        assert (r.error is not None) == (want is None) and (want is None or json.loads(r.document) == want)
+
+
 def test_patches(spark):
     rows = [(i, json.dumps(d), json.dumps(o)) for i, (d, o, _, _) in enumerate(PATCHES)]
     got = spark.createDataFrame(rows, "i int, d string, o string").select("i", J.json_patch("d", "o").alias("r")).select("i", "r.*").collect()
@@ -93,6 +111,7 @@ def test_ids(spark):
     rows = rows.withColumn("g", J.content_id(F.lit(None).cast("binary"), F.col("a")))
     rows = rows.withColumn("c", J.content_id(F.col("g"), F.col("b"))).withColumn("t", J.content_id(F.col("c"), F.lit("tombstone")))
     got = rows.select(F.lower(F.hex("g")), *(J.id_text(F.col(x)) for x in "gct")).first()
+    # Published identifiers.
     assert tuple(got) == ("5e8c8d1cecdd67fd2e5a750b07aa0f91fd4ab16b", "1l2gi2hhm3vt72ls2oufqpkqpsh6uvmll", "1sywh54kpo3c4ezn2znktvl3avge4zl5d", "1idx6u2b3z42obqmwsgmlzvrfuutks2bq")
     entry = '{"kind":"config","target":"1l2gi2hhm3vt72ls2oufqpkqpsh6uvmll"}'
     chained = '{"kind":"head","resource":"derby","target":"1l2gi2hhm3vt72ls2oufqpkqpsh6uvmll"}'
@@ -114,6 +133,9 @@ SCHEMAS = [
     ({"$defs": {"n": {"type": "number"}}, "properties": {"a": {"$ref": "#/$defs/n"}}, "dependentRequired": {"a": ["b"]}}, [{"a": 1, "b": 0}, {"b": 1}], [{"a": "x", "b": 0}, {"a": 1}]),
     ({"patternProperties": {"^x-": {"type": "number"}}, "propertyNames": {"maxLength": 3}}, [{"x-a": 1}, {}], [{"x-a": "s"}, {"long": 1}]),
     ({"not": {"type": "object"}, "format": "date-time"}, ["2024-01-02T03:04:05Z", 4], [{}, "2024-01-02"]),
+    ({"multipleOf": 1}, [3, 2.0], [0.0000000005]), ({"multipleOf": 0.1}, [0.3, 1], [0.35]),
+    ({"pattern": "^a$"}, ["a"], ["a\n", "b"]), ({"format": "date"}, ["2024-02-29"], ["2024-02-31", "2024-2-01", "2024-02-29\n"]), ({"format": "ipv6"}, ["::1", "1::2:3", "::ffff:1.2.3.4"], [":::", "1:2", "12345::", "1::2::3"]),
+    ({"format": "unheard-of"}, ["x"], []), ({"$defs": {"x": {"$anchor": "here", "type": "string"}}, "$ref": "#here"}, ["s"], [1]),
     ({"format": "uuid", "pattern": "^0"}, ["00000000-0000-0000-0000-000000000000"], ["10000000-0000-0000-0000-000000000000", "0"]),
 ]
 
@@ -130,6 +152,17 @@ def test_schemas_as_conditions(spark):
         V.schema_condition({"pattern": "(?=a)"}, F.col("p"))
 
 
+def test_long_chains_are_folded_in_pieces(spark):
+    rows = [("n", "r", 0, "head", '[{"op":"add","path":"","value":{"a":[]}}]')] + [("n", "r", i, "head", f'[{{"op":"add","path":"/a/-","value":{i}}}]') for i in range(1, 700)]
+    rows += [("n", "s", 1, "head", "{broken"), ("n", "s", 2, "head", '[{"op":"add","path":"","value":5}]')]
+    df = spark.createDataFrame(rows, "ns string, resource string, seq long, kind string, patches string")
+    got = {r.resource: r for r in J.fold_documents(df).collect()}
+    assert json.loads(got["r"].document) == {"a": list(range(1, 700))} and got["s"].document == "5" and got["s"].error is None
+    wanted = spark.createDataFrame([("n", "r", 300), ("n", "s", 1)], "ns string, resource string, seq long")
+    got = {r.resource: r for r in J.fold_documents(df, wanted=wanted).collect()}
+    assert json.loads(got["r"].document)["a"][-1] == 300 and got["s"].error and J.fold_documents(df.limit(0)).count() == 0
+
+
 def test_pointers(spark):
     df = spark.createDataFrame([('{"a/b":{"m~n":[10,{"x":null}]}}',)], "j string").withColumn("v", F.parse_json("j"))
     got = df.select(*(F.to_json(V.get(F.col("v"), p)) for p in ("/a~1b/m~0n/0", "/a~1b/m~0n/1/x", "/nope", "")), V.segments(F.lit("/a~1b/~01")), V.segments(F.lit(""))).first()

@@ -35,11 +35,33 @@ def test_chunks(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "c"), (2, 1, "z")], "id int, n int, t string")
     assert {(r.id, r.t) for r in follow.joined_chunks(df, ["id"], "n", "t").collect()} == {(1, "abc"), (2, "z")}
     assert {(r.n, r.segment) for r in follow.segments_of(df.where("id = 1"), ["id"], "n", F.length("t"), 2).collect()} == {(1, 0), (2, 0), (3, 1)}
+    sizes = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate((60, 60, 40, 250, 1))], "id int, n int, t string")
+    assert [r.segment for r in follow.segments_of(sizes, ["id"], "n", F.length("t"), 100).orderBy("n").collect()] == [0, 1, 1, 2, 3]
+    text = "one line\nand " + "z" * 40 + "\n\nlast"
+    got = follow.line_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, t string"), ["id"], "t", 16).orderBy("id", "chunk").collect()
+    assert "".join(r.t for r in got) == text and max(len(r.t) for r in got) <= 16 and {r.id for r in got} == {1}
+
+
+def test_a_wiped_namespace_stays_empty(spark, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "index")
+    kind = LOG + ", entries array<struct<kind:string,resource:string,target:string>>"
+    run = lambda: follow.follow(follow.read_log(spark, path, kind), follow.upsert_to(out), str(tmp_path / "at"), once=True).awaitTermination()
+    live = lambda: {(r.ns, r.resource, r.target) for r in follow.current(spark, out).collect()}
+    spark.createDataFrame([("n", 1, "batch", None, None, [("head", "a", "a1"), ("head", "b", "b1")]), ("m", 1, "head", "c", "c1", None)], kind).write.mode("append").parquet(path)
+    run()
+    assert live() == {("n", "a", "a1"), ("n", "b", "b1"), ("m", "c", "c1")}
+    spark.createDataFrame([("n", 2, "purge-ns", None, None, None), ("n", 3, "head", "d", "d1", None)], kind).write.mode("append").parquet(path)
+    run()
+    assert live() == {("n", "d", "d1"), ("m", "c", "c1")}
+    assert follow.compact(spark, out) == 1 and live() == {("n", "d", "d1"), ("m", "c", "c1")}
+    spark.createDataFrame([("m", 2, "tombstone", "c", "c2", None)], kind).write.mode("append").parquet(path)
+    run()
+    assert live() == {("n", "d", "d1")}
 
 
 def test_words(spark):
-    df = spark.createDataFrame([("n", "r", "Ångström, Straße! e-mail 42 ﬁn"), ("n", "s", None)], "ns string, resource string, body string")
-    assert {(r.token, r.n) for r in text.tokens(df).collect()} == {("angstrom", 1), ("straße", 1), ("e", 1), ("mail", 1), ("42", 1), ("fin", 1)}
+    df = spark.createDataFrame([("n", "r", "/t", "Ångström, Straße! e-mail 42 ﬁn"), ("n", "s", "/t", None)], "ns string, resource string, path string, body string")
+    assert [(r.token, r.pos) for r in text.tokens(df).orderBy("pos").collect()] == [("angstrom", 0), ("straße", 1), ("e", 2), ("mail", 3), ("42", 4), ("fin", 5)]
     assert df.where(text.contains_folded(F.col("body"), "STRA")).count() == 1
     assert text.duration_seconds("P1DT2H3M4.5S") == 93784.5 and text.duration_seconds("P2W") == 1209600
 
