@@ -8,7 +8,7 @@ import bisect
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,26 +43,26 @@ LAYERS = 4
 DEEPEST = 12
 
 
-def _length(data: bytes, at: int) -> tuple[int, int] | None:
-    """(first content byte, end) of the DER element at a place; None if its length runs past the data."""
-    if at + 2 > len(data):
+def _length(data: bytes, at: int, limit: int) -> tuple[int, int] | None:
+    """(first content byte, end) of the DER element at a place; None if its length runs past the limit."""
+    if at + 2 > limit:
         return None
     n, start = data[at + 1], at + 2
     if n & 0x80:
         k = n & 0x7F
-        if not 1 <= k <= 4 or start + k > len(data):
+        if not 1 <= k <= 4 or start + k > limit:
             return None
         n, start = int.from_bytes(data[start : start + k], "big"), start + k
         if n < 0x80:  # not the shortest form
             return None
-    return (start, start + n) if start + n <= len(data) else None
+    return (start, start + n) if start + n <= limit else None
 
 
 def _nested(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
     """(tag, first byte, end) of the elements that fill data[start:end] exactly, constructed ones checked likewise."""
     found, at = [], start
     while at < end:
-        if (x := _length(data, at)) is None or x[1] > end:
+        if (x := _length(data, at, end)) is None:
             return None
         if data[at] & 0x20 and (depth >= DEEPEST or _nested(data, *x, depth + 1) is None):
             return None
@@ -71,35 +71,47 @@ def _nested(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int
     return found
 
 
-def der_key(data: bytes) -> bool:
-    """Whether data is a DER private key: PKCS #1, PKCS #8, SEC 1 or an encrypted PKCS #8 structure."""
-    if len(data) < 24 or data[0] != 0x30 or (outer := _length(data, 0)) is None or outer[1] != len(data):
-        return False
-    if not (inside := _nested(data, *outer)):
-        return False
+def der_key(data: bytes, at: int = 0) -> int | None:
+    """The end of the DER private key that begins at a place (PKCS #1, PKCS #8, SEC 1 or encrypted PKCS #8), or None."""
+    if data[at : at + 1] != b"\x30" or (outer := _length(data, at, len(data))) is None or outer[1] - at < 24:
+        return None
+    # A first element of another kind, or one that doesn't fit, spares the walk through all of it.
+    if data[outer[0]] not in (0x02, 0x30) or _length(data, *outer) is None or not (inside := _nested(data, *outer)):
+        return None
     tags = [t for t, _, _ in inside]
-    whole = lambda k: int.from_bytes(data[inside[k][1] : inside[k][2]], "big")
-    if tags[0] == 0x02 and whole(0) <= 1:
+    if tags[0] == 0x02 and data[inside[0][1] : inside[0][2]] in (b"\0", b"\1"):
         rsa = len(tags) >= 9 and set(tags[:9]) == {0x02}
         pkcs8 = len(tags) >= 3 and tags[1:3] == [0x30, 0x04]
         sec1 = len(tags) >= 2 and tags[1] == 0x04 and all(t in (0xA0, 0xA1) for t in tags[2:]) and inside[1][2] - inside[1][1] >= 16
-        return rsa or pkcs8 or sec1
+        return outer[1] if rsa or pkcs8 or sec1 else None
     if tags == [0x30, 0x04]:  # encrypted: an algorithm with parameters, then bytes
         algorithm = _nested(data, *inside[0][1:])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and len(algorithm) == 2 and inside[1][2] - inside[1][1] >= 16
-    return False
+        if algorithm and algorithm[0][0] == 0x06 and len(algorithm) == 2 and inside[1][2] - inside[1][1] >= 16:
+            return outer[1]
+    return None
 
 
-def openssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key: its magic, then strings whose lengths nest."""
-    at = len(b"openssh-key-v1\0")
-    if data[:at] != b"openssh-key-v1\0":
-        return False
+MAGIC = b"openssh-key-v1\0"
+
+
+def openssh_key(data: bytes, at: int = 0) -> int | None:
+    """The end of the OpenSSH private key that begins at a place: its magic, then strings whose lengths nest; or None."""
+    if data[at : at + len(MAGIC)] != MAGIC:
+        return None
+    at += len(MAGIC)
+    number = lambda at: int.from_bytes(data[at : at + 4], "big")
     for _ in range(3):  # cipher, key derivation, its options
         if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 8 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16 and at + 8 + int.from_bytes(data[at + 4 : at + 8], "big") <= len(data)
+            return None
+        at += 4 + number(at)
+    if at + 8 > len(data) or not 1 <= (keys := number(at)) <= 16:
+        return None
+    at += 4
+    if at + 4 + number(at) > len(data):
+        return None
+    for _ in range(keys + 1):  # public keys, then the private part
+        at = min(at + 4 + number(at), len(data))
+    return at
 
 
 def _decoded(run: str) -> bytes:
@@ -130,31 +142,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)]
 
 
-def _key_at(data: bytes) -> tuple[str, int] | None:
-    """(kind, bytes) of the key that data begins with."""
-    if data[:1] == b"\x30" and (x := _length(data, 0)) and der_key(data[: x[1]]):
-        return "der", x[1]
-    if openssh_key(data):
-        at = len(b"openssh-key-v1\0")
-        for _ in range(3):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        for _ in range(n + 1):  # public keys, then the private part
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return "openssh", min(at, len(data))
-    return None
-
-
-def _der_size(head: bytes) -> int | None:
-    """Bytes of the DER sequence that begins with head; None if it can't be a key."""
-    if len(head) < 6 or head[0] != 0x30:
-        return None
-    k = head[1] & 0x7F if head[1] & 0x80 else 0
-    if k > 4:
-        return None
-    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
-
-
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
     for m in DOTTED.finditer(text):
         parts, starts, at = m[0].split("."), [], m.start()
@@ -201,16 +188,46 @@ def structured_spans(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
     if "PRIVATE KEY-----" in text:
         for m in ARMOUR.finditer(text):
             data = _decoded(re.sub(r"\\n|\s", "", m[2]))
-            if der_key(data) or openssh_key(data):
+            if der_key(data) == len(data) or openssh_key(data):
                 found.append((m.start(), m.end(), "pem"))
                 covered.append((m.start(), m.end()))
-    free = lambda a, b: all(b <= c or a >= d for c, d in covered)
+    covered.sort()
+
+    def free(a: int, b: int) -> bool:
+        """Whether no span found so far, which don't overlap, reaches into a place."""
+        k = bisect.bisect_right(covered, (a, len(text)))
+        return (not k or covered[k - 1][1] <= a) and (k == len(covered) or covered[k][0] >= b)
 
     def within(data: bytes, a: int, b: int) -> None:
         if layer < LAYERS:
             for kind in dict.fromkeys(k for _, _, k in structured_spans(data.decode("latin-1"), layer + 1)):
                 found.append((a, b, kind))
-                covered.append((a, b))
+                bisect.insort(covered, (a, b))
+
+    def search(n: int, starts: Iterator[int], chars: int, octets: int, decode: Callable, place: Callable, end: Callable) -> None:
+        """Keys and further layers in a run of n characters, of which `chars` stand for `octets` bytes.
+
+        Places that lie a whole number of such groups apart decode to parts of the same bytes, so a run is decoded once
+        for each remainder, and what lies within these bytes is searched once, from the first place that asks for it.
+        """
+        data: dict[int, bytes] = {}
+        asked: set[int] = set()
+        for k in starts:
+            if not free(place(k), place(k) + 1):
+                continue
+            r = k % chars
+            if r not in data:
+                data[r] = decode(r)
+            at = (k - r) // chars * octets
+            kind, stop = ("der", der_key(data[r], at)) if data[r][at : at + 1] == b"\x30" else ("openssh", openssh_key(data[r], at))
+            if stop is not None:
+                found.append((place(k), end(min(n, k + -(-(stop - at) * chars // octets))), kind))
+                bisect.insort(covered, found[-1][:2])
+            elif data[r][at : at + 3] == b"---" and r not in asked:
+                asked.add(r)
+                within(data[r][at:], place(k), end(n))
+        if free(place(0), end(n)) and 0 not in asked:
+            within(data.get(0) or decode(0), place(0), end(n))
 
     for run, lines in _runs(text):
 
@@ -222,45 +239,13 @@ def structured_spans(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
             at = place(k - 1) + 1
             return at + len(text[at : at + 2]) - len(text[at : at + 2].lstrip("="))
 
-        cut = lambda chars: _decoded(chars if len(chars) % 4 != 1 else chars[:-1])
-        starts = [x.start() for x in BASE64_STARTS.finditer(run)]
-        for k in starts:
-            if not free(place(k), place(k) + 1):
-                continue
-            if run[k] == "M":
-                n = _der_size(_decoded(run[k : k + 8]))
-                if n is None or n < 24 or k + (need := -(-n * 4 // 3)) > len(run):
-                    continue
-                if _key_at(_decoded(run[k : k + need])):
-                    found.append((place(k), end(k + need), "der"))
-                    covered.append(found[-1][:2])
-            elif run[k] == "b":
-                if key := _key_at(cut(run[k:])):
-                    found.append((place(k), end(k + -(-key[1] * 4 // 3)), "openssh"))
-                    covered.append(found[-1][:2])
-            else:
-                within(cut(run[k:]), place(k), end(len(run)))
-        if free(place(0), end(len(run))):
-            within(cut(run), place(0), end(len(run)))
+        decode = lambda r, run=run: _decoded(run[r:] if (len(run) - r) % 4 != 1 else run[r:-1])
+        search(len(run), (x.start() for x in BASE64_STARTS.finditer(run)), 4, 3, decode, place, end)
     for m in ANY_HEX.finditer(text):
-        run = m[0]
-        whole = lambda chars: bytes.fromhex(chars[: len(chars) // 2 * 2])
-        for k in (x.start() for x in HEX_STARTS.finditer(run)):
-            a = m.start() + k
-            if not free(a, a + 1):
-                continue
-            if run[k] == "3":
-                n = _der_size(whole(run[k : k + 12]))
-                if n and 24 <= n and k + 2 * n <= len(run) and _key_at(whole(run[k : k + 2 * n])):
-                    found.append((a, a + 2 * n, "der"))
-                    covered.append(found[-1][:2])
-            elif key := _key_at(whole(run[k:])):
-                found.append((a, a + 2 * key[1], key[0]))
-                covered.append(found[-1][:2])
-            else:
-                within(whole(run[k:]), a, m.end())
-        if free(m.start(), m.end()):
-            within(whole(run), m.start(), m.end())
+        run, first = m[0], m.start()
+        decode = lambda r, run=run: bytes.fromhex(run[r : r + (len(run) - r) // 2 * 2])
+        there = lambda k, first=first: first + k
+        search(len(run), (x.start() for x in HEX_STARTS.finditer(run)), 2, 1, decode, there, there)
     return list(dict.fromkeys(found))
 
 

@@ -29,8 +29,9 @@ def token(header, payload):
 
 
 def test_structures():
-    assert all(map(secret_scan.der_key, (RSA, EC, PKCS8)))
-    assert not any(map(secret_scan.der_key, (CERTIFICATE, RSA[:-1], RSA + b"x", b"", b"0" * 40, der(0x30, der(2, b"\0")) * 2)))
+    whole = lambda data: secret_scan.der_key(data) == len(data) > 0
+    assert all(map(whole, (RSA, EC, PKCS8))) and secret_scan.der_key(b".." + RSA + b"x", 2) == len(RSA) + 2
+    assert not any(map(whole, (CERTIFICATE, RSA[:-1], RSA + b"x", b"", b"0" * 40, der(0x30, der(2, b"\0")) * 2)))
 
 
 def kinds(text):
@@ -95,3 +96,16 @@ def test_base_spans(spark, sf_dir):
         assert set(filter(None, said.split(","))) <= set(filter(None, r.spans.split(",")))
         assert r.spans == ",".join(f"{x.kind}:{x.start}:{x.end}" for x in r.found)
     assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    long = ["eyJ" + "ab" * 200_000, "MIIE" * 100_000, "LS0t" * 100_000, "2d" * 200_000, "3081" * 100_000, ".".join(["eyJhbGciOi" + "x" * 9] * 20_000), base64.b64encode(bytes(range(256)) * 1200).decode()]
+    began = time.perf_counter()
+    for text in long:
+        assert kinds(text) == []
+    # Quadratic work on these takes hours.
+    assert time.perf_counter() - began < 120
+    key = base64.b64encode(RSA).decode()
+    assert [k for k, _ in kinds("LS0t" * 5000 + " " + key + " " + "MIIE" * 5000)] == ["der"]
