@@ -7,7 +7,7 @@ every link is then confirmed on the full shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from palimpsest.llm.components import components
-from palimpsest.llm.text import ascii_lower, durable, spaced, text_batches
+from palimpsest.llm.text import ascii_lower, checked, durable, spaced, text_batches
 
 #: 36 bands of 6 values, that is of the minimum and maximum of 3 permutations: a pair of similarity 0.8 shares no band
 #: with probability (1 - 0.8 ** 6) ** 36 < 2e-5.
@@ -29,8 +29,8 @@ BANDS, PERMUTATIONS = 36, 3
 SLACK = 0.1
 #: Texts of a bucket that one task compares with as many others at once.
 BLOCK = 1024
-#: Rows of small buckets that one task takes, about.
-SHARE = 20_000
+#: Sketches of small buckets that one task takes, about; of full sets a tenth.
+SHARE = 8_000
 #: Bytes of texts whose words a Python worker holds at once (one longer text is held whole).
 SLICE = 2_000_000
 
@@ -131,7 +131,7 @@ def _sets_of(width: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v, ...) whose full sets' Jaccard similarity is percent / 100 or more."""
+    """Those of the pairs (u, v) whose full sets' Jaccard similarity is percent / 100 or more."""
 
     @F.pandas_udf(BooleanType())
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -148,50 +148,104 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(alike("a", "b")).select(*pairs.columns)
 
 
-def _near(sketches: list[bytes], root: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of sketches, of different roots and sides (-1: one block), whose estimate is least or more."""
+def _forest(left: np.ndarray, right: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links (places) that join two trees, given that places of one root are one already."""
+    up = {r: r for r in root.tolist()}
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    kept = []
+    for a, b in zip(root[left].tolist(), root[right].tolist(), strict=True):
+        if (x := top(a)) != (y := top(b)):
+            up[x] = y
+            kept.append((a, b))
+    return kept
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two blocks that are compared (0 and 1), or twice those of the one that is compared with itself (-1)."""
+    return (np.arange(len(side)),) * 2 if (side < 0).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+
+
+def _tied(sketches: list[bytes], root: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A forest, by roots, of the pairs of sketches of different roots whose estimate is least or more."""
     x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    one = (side < 0).all()
-    a, b = (np.arange(len(x)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    a, b = _sides(side)
     same = np.zeros((len(a), len(b)), np.uint8)  # of 2 * BANDS * PERMUTATIONS = 216 values
     for values in np.ascontiguousarray(x.T):
         same += values[a][:, None] == values[b][None, :]
     i, j = np.nonzero(((same / x.shape[1] * 256 - 1) / 255 >= least) & (root[a][:, None] != root[b][None, :]))
-    i, j = a[i], b[j]
-    ok = i < j if one else np.ones(len(i), bool)
-    return i[ok], j[ok]
+    return _forest(a[i], b[j], root)
 
 
-def _across(members: DataFrame, hubs: DataFrame, sketches: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v, ru, rv) of texts and their roots in found: those that meet in a bucket, estimated at least so, of two roots.
+def _linked(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest, by roots, of the pairs of sets of different roots whose Jaccard similarity is percent / 100 or more.
 
-    Hubs have met all of their bucket and are left out. A bucket whose members have one root needs no more links. Small
-    buckets share tasks; of a large one, each block meets each other block and itself by their sketches, 216 bytes each,
-    so a task holds two blocks however large the bucket.
+    Intersections are a product of incidence matrices over the hashes that two or more of the sets have.
+    """
+    sizes = np.array([len(s) for s in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[column] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    a, b = _sides(side)
+    inter = np.zeros((len(a), len(b)), np.float32)
+    step = 1024
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        low, high = np.searchsorted(column, [first, first + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[owner[low:high], column[low:high] - first] = 1
+        inter += m[a] @ m[b].T
+    union = sizes[a][:, None] + sizes[b][None, :] - inter
+    i, j = np.nonzero((100.0 * inter.astype(np.float64) >= percent * union.astype(np.float64)) & (root[a][:, None] != root[b][None, :]))
+    return _forest(a[i], b[j], root)
+
+
+def _dealt(rows: DataFrame, at: str, payload: DataFrame, share: int) -> DataFrame:
+    """rows (at, node, root), written, with payload (node, x), dealt to tasks (shared, task, i, j) so that any two rows of one `at` and two roots meet.
+
+    `at` with no more than BLOCK rows share tasks. The rows of larger ones go to blocks: a root of many rows has blocks
+    of its own, which need not meet each other, smaller roots share some; each block meets each other one, so that a
+    task holds two blocks at once and no more, however many rows an `at` has.
     """
-    placed = members.where("n > 2").join(hubs, "band").where("node <> hub").select("band", "node").join(found, "node", "left")
-    placed = durable(placed.select("band", "node", F.coalesce("root", "node").alias("root")))
-    buckets = placed.groupBy("band").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    buckets = durable(buckets.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_blocks")))
-    placed = placed.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
-    n_shared = F.lit(placed.count() // SHARE + 1)
-    tasks = (
-        F.when(F.col("n_blocks") == 1, F.array(F.struct(F.lit(True).alias("shared"), F.pmod(F.xxhash64("band"), n_shared).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"))))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.lit(False).alias("shared"), F.col("band").alias("at"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
-    )
-    dealt = placed.join(sketches, "node").select("band", "node", "root", "block", "sketch", F.explode(tasks).alias("t")).select("band", "node", "root", "block", "sketch", "t.*")
+    many = rows.groupBy(at, "root").agg(F.count("*").alias("_m"))
+    many = many.select(at, F.when(F.col("_m") >= BLOCK // 2, F.col("root")).alias("_big"), "_m").groupBy(at, "_big").agg(F.sum("_m").alias("_m"))
+    blocks = durable(many.select(at, "_big", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_n"), "_m"))
+    whole = blocks.groupBy(at).agg(F.sum("_m").alias("_all"), F.collect_list(F.struct("_big", "_n")).alias("_blocks"))
+    whole = durable(whole.withColumn("_blocks", F.when(F.col("_all") > BLOCK, F.col("_blocks"))))
+    n_shared = F.lit(rows.count() // share + 1)
+    rows = rows.join(whole.drop("_all"), at)
+    number = lambda big, k: F.xxhash64(F.coalesce(big, F.lit(-1)), big.isNull(), k)
+    found = F.filter("_blocks", lambda x: x["_big"] == F.col("root"))
+    own = F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(F.get(F.filter("_blocks", lambda x: x["_big"].isNull()), F.lit(0)))
+    rows = rows.withColumn("_own", own).withColumn("block", number(F.col("_own._big"), F.pmod(F.xxhash64(F.coalesce("_own._big", F.lit(0)), F.when(F.col("_own._big").isNull(), F.col("root")).otherwise(F.col("node"))), F.col("_own._n")).cast("int")))
+    others = F.flatten(F.transform(F.filter("_blocks", lambda x: x["_big"].isNull() | (x["_big"] != F.col("root"))), lambda x: F.transform(F.sequence(F.lit(0), x["_n"] - 1), lambda k: number(x["_big"], k))))
+    task = lambda shared, where, i, j: F.struct(F.lit(shared).alias("shared"), where.alias("task"), i.alias("i"), j.alias("j"))
+    zero = F.lit(0).cast("long")
+    tasks = F.when(F.col("_blocks").isNull(), F.array(task(True, F.pmod(F.xxhash64(at), n_shared), zero, zero))).otherwise(F.transform(others, lambda k: task(False, F.col(at).cast("long"), F.least("block", k), F.greatest("block", k))))
+    return rows.select(at, "node", "root", "block", tasks.alias("_ts")).join(payload, "node").select(at, "node", "root", "block", "x", F.explode("_ts").alias("_t")).select(at, "node", "root", "block", "x", "_t.*")
+
+
+def _compared(dealt: DataFrame, at: str, pairs: Callable) -> DataFrame:
+    """Links (u, v) between roots that pairs(values of x, roots, sides) finds in the tasks of _dealt()."""
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in rows.groupby("band", sort=False):
-            node, root = part["node"].to_numpy(), part["root"].to_numpy()
+        out: list[tuple[int, int]] = []
+        for _, part in rows.groupby(at, sort=False):
+            root = part["root"].to_numpy()
+            if (root == root[0]).all():
+                continue
             side = np.full(len(part), -1) if key[0] or key[2] == key[3] else (part["block"].to_numpy() == key[3]).astype(int)
-            i, j = _near(part["sketch"].tolist(), root, side, least)
-            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-            out.append(pd.DataFrame({"u": node[i], "v": node[j], "ru": root[i], "rv": root[j]}))
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({c: [] for c in ("u", "v", "ru", "rv")}, dtype="int64")
+            out += pairs(part["x"].tolist(), root, side)
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return dealt.groupBy("shared", "at", "i", "j").applyInPandas(compare, "u long, v long, ru long, rv long").distinct()
+    return dealt.groupBy("shared", "task", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -209,9 +263,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Any two texts of a band's bucket are candidates. A bucket's hub, its member that shares most buckets with most
     others, is compared with all of them first, which ties copies of one text together by as many pairs as there are
-    copies. Then only members that have different roots are held against each other, by their sketches, and what
-    these don't rule out is confirmed on the full sets. Groups come from confirmed links alone, so texts that are
-    merely alike never grow into one group of candidates.
+    copies. Where members of a bucket still have different roots, their sketches are held against each other in blocks.
+    Roots with texts that are estimated to be near (within SLACK of the threshold or above) are then compared on their
+    full sets, in blocks too and only across roots; each task returns no more links than join its roots. So no pairs are
+    listed, texts that are merely alike don't come together, and no task holds more than two blocks.
     """
     text_batches(docs.sparkSession)
     least = percent / 100 - SLACK
@@ -234,13 +289,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # The candidates' sets, from one of the rows that have the text.
     wanted = durable(members.select("node").distinct().join(nodes.select("node", "one"), "node").select(F.col("node").alias("of"), F.col("one.id").alias("of_id"), F.col("one.raw").alias("of_raw")))
-    texts = given.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("raw") == F.col("of_raw"))).select(F.col("of").alias("node"), spaced(ascii_lower(F.col("text"))).alias("words"))
+    texts = given.join(checked(wanted), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("raw") == F.col("of_raw"))).select(F.col("of").alias("node"), spaced(ascii_lower(F.col("text"))).alias("words"))
     sets = durable(texts.dropDuplicates(["node"]).mapInArrow(_sets_of(width), "node long, packed binary"))
 
     roots = durable(components(_confirmed(pairs, sets, percent)))
-    # Links between groups are few, so groups are joined by their roots.
-    pairs = durable(_across(members, hubs, sketches, roots, least))
-    tops = durable(components(_confirmed(pairs, sets, percent).select(F.col("ru").alias("u"), F.col("rv").alias("v"))).withColumnsRenamed({"node": "of", "root": "top"}))
+    # Hubs have met all of their bucket. Buckets of two roots or more go on; sketches tie what is near, by roots.
+    placed = durable(members.where("n > 2").join(hubs, "band").where("node <> hub").select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    placed = durable(placed.join(mixed, "band"))
+    ties = _compared(_dealt(placed, "band", sketches.withColumnRenamed("sketch", "x"), SHARE), "band", lambda x, root, side: _tied(x, root, side, least))
+    near = durable(components(ties).select(F.col("node").alias("root"), F.col("root").alias("near")))
+    # All texts of roots that are near are compared in full, but for those of one root.
+    rooted = durable(roots.union(placed.select("node", "root").distinct().join(roots, "node", "left_anti")).join(near, "root"))
+    links = _compared(_dealt(rooted, "near", sets.withColumnRenamed("packed", "x"), SHARE // 10), "near", lambda x, root, side: _linked([np.frombuffer(p, np.uint64) for p in x], root, side, percent))
+    tops = durable(components(links).withColumnsRenamed({"node": "of", "root": "top"}))
     alone = tops.join(roots, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("top").alias("root"))
     groups = durable(roots.join(tops, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")).union(alone))
     ids = nodes.select("node", "id")
