@@ -9,13 +9,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.text import text_batches
@@ -146,34 +147,38 @@ def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", out_col: st
     return encoded.withColumn(out_col, joined(F.col(ids_col)))
 
 
-def rank_table(spark: SparkSession, ranks: Iterable[tuple[bytes, int]], n: int = 4096) -> DataFrame:
-    """One row, (one = 1, ranks): n small maps, of which a piece's crc32 picks one, since a map's entries are searched in turn."""
-    maps: list[dict[bytes, int]] = [{} for _ in range(n)]
-    for piece, rank in ranks:
-        maps[zlib.crc32(piece) % n][piece] = rank
-    return spark.createDataFrame([(1, maps)], "one int, ranks array<map<binary,int>>")
+def rank_literal(ranks: Mapping[bytes, int], n: int = 1 << 14) -> Callable[[Column], Column]:
+    """The rank of a piece by a literal: n small maps, of which a piece's crc32 picks one, since a map's entries are searched in turn."""
+    maps: list[dict[str, int]] = [{} for _ in range(n)]
+    for piece, rank in ranks.items():
+        maps[zlib.crc32(piece) % n][piece.hex().upper()] = rank
+    literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return lambda piece: F.try_element_at(F.get(literal, (F.crc32(piece) % n).cast("int")), F.hex(piece))
 
 
 def folded_words(words: DataFrame, rank_file: str, word_col: str = "word") -> DataFrame:
-    """words with ids, by Spark's higher-order functions alone; for tables of distinct short words.
+    """words with ids, by Spark's higher-order functions alone; for tables of distinct words.
 
-    aggregate() folds a merge at a time over the array of byte strings, with ranks from a literal map of the vocabulary
-    (one row, whose size the vocabulary bounds). The number of steps is the square of the word's length, and each
-    evaluates lambdas row by row; see the README for its cost. A null word has no ids.
+    aggregate() folds a merge at a time over the array of byte strings and the ranks of its pairs; the rank map is a
+    literal, bounded by the vocabulary, that all rows share. A merge looks up the two pairs that it makes, so a word of
+    n bytes takes n steps over arrays of n; see the README for the cost. A null or empty word has no ids.
     """
-    spark = words.sparkSession
-    table = F.broadcast(rank_table(spark, load_ranks(rank_file).items()))
-    rows = words.withColumn("one", F.lit(1)).join(table, "one")
+    rank = rank_literal(load_ranks(rank_file))
+    none = F.array().cast("array<int>")
     raw = F.encode(F.coalesce(F.col(word_col), F.lit("")), "UTF-8")
-    rows = rows.withColumn("bytes", raw).withColumn("parts", F.when(F.octet_length("bytes") > 0, F.transform(F.sequence(F.lit(1), F.octet_length("bytes")), lambda i: F.substring("bytes", i, F.lit(1)))).otherwise(F.array().cast("array<binary>")))
-    rank = lambda p: F.try_element_at(F.get("ranks", (F.crc32(p) % 4096).cast("int")), p)
+    parts = F.when(F.octet_length(raw) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substring(raw, i, F.lit(1)))).otherwise(F.array().cast("array<binary>"))
+    pairs = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: rank(F.concat(p, F.get(parts, i + 1))))
 
     def step(acc: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))), lambda i: F.struct(rank(F.concat(F.get(acc, i - 1), F.coalesce(F.get(acc, i), F.lit(b"")))).alias("r"), F.when(i < F.size(acc), i).alias("i")))
-        best = F.array_min(F.filter(pairs, lambda x: x["r"].isNotNull() & x["i"].isNotNull()))
-        # The least pair is found once and handed on as the only element of an array.
-        merge = lambda b: F.when(b.isNull(), acc).otherwise(F.concat(F.slice(acc, F.lit(1), b["i"] - 1), F.array(F.concat(F.get(acc, b["i"] - 1), F.get(acc, b["i"]))), F.slice(acc, b["i"] + 2, F.size(acc))))
-        return F.get(F.transform(F.array(best), merge), F.lit(0))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length("bytes") - 1, F.lit(1))), F.col("parts"), step)
-    return rows.withColumn("ids", F.transform(folded, rank)).select(*words.columns, "ids")
+        p, r = acc["parts"], acc["pairs"]
+        low = F.array_min(r)
+        at = F.array_position(r, low).cast("int")  # the leftmost of equals
+        merged = F.concat(F.get(p, at - 1), F.get(p, at))
+        left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), merged)))).otherwise(none)
+        right = F.when(at < F.size(r), F.array(rank(F.concat(merged, F.get(p, at + 1))))).otherwise(none)
+        parts = F.concat(F.slice(p, F.lit(1), at - 1), F.array(merged), F.slice(p, at + 2, F.size(p)))
+        pairs = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
+        return F.when(low.isNull(), acc).otherwise(F.struct(parts.alias("parts"), pairs.alias("pairs")))
+
+    steps = F.sequence(F.lit(1), F.greatest(F.octet_length(raw), F.lit(1)))
+    return words.withColumn("ids", F.aggregate(steps, F.struct(parts.alias("parts"), pairs.alias("pairs")), step, lambda acc: F.transform(acc["parts"], rank)))
