@@ -23,8 +23,9 @@ from palimpsest.llm.text import durable, text_batches
 ANCHORS = frozenset("a an the of and to in is was are be it that this for on with as at by from he she they we en de la el los las que y un una por con se del al le les des du et est dans au der die das und ein eine zu den dem mit von für auf im ist".split())
 #: Content words in a chain, and the step between them: every DISTANCE-th content word after the anchor.
 CHAIN, DISTANCE = 2, 1
-#: Rows that one range of ids is meant to hold, and ranges at most: beyond, ranges grow, which sort through the disk.
-RANGE, MOST_RANGES = 4_000, 16_384
+#: Rows that one range of ids is meant to hold, and ranges at most: beyond, ranges grow. A range is sorted through the disk
+#: and streamed, so its size costs time, not memory.
+RANGE, MOST_RANGES = 4_000, 65_536
 #: Rows whose texts are unpacked at once.
 SLICE = 500
 
@@ -128,18 +129,21 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select("id", "text", range_of("id").alias("own"), (ended_by("id") if order else F.lit(None).cast("int")).alias("ended"))
     places = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("guard")), F.when(F.col("ended").isNotNull(), F.struct(F.col("ended").alias("range"), F.lit(True).alias("guard"))))
     spread = rows.select("id", "text", F.explode(places).alias("p")).where("p is not null").select("p.*", "id", "text")
-    n_tasks = max(1, len(order))
-    sorted_ = spread.repartition(n_tasks, "range").sortWithinPartitions("range", "guard", F.desc("id"), F.xxhash64("text"), "text")
+    # A task for each range: its number is the partition's.
+    sorted_ = spread.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("range", "guard", F.desc("id"), F.xxhash64("text"), "text")
     out = sorted_.select("range", "guard", "id", "text").mapInArrow(_chained, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(F.when(F.col("id") > -(2**63), F.col("id")).alias(id_col), *out.columns[1:])
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """(a, b, likeness): pairs of distinct fingerprints' least ids whose signatures' Jaccard similarity is least or more.
+    """(a, b, likeness): pairs of classes whose signatures' Jaccard similarity is least or more, a below b.
 
-    Texts of equal fingerprints are one from the start (each id's own is in neighbours' output). Sets are partitioned
-    by length: only sets whose lengths could reach the similarity meet, and of each set only as many of its rarest
-    signatures are looked up as one of them must be shared. What meets is compared in full.
+    A class is the texts of one fingerprint (compare_neighbours() has each row's), named by its least id; null ids count
+    only where a class has no other, and such classes are named null. Texts without signatures (null, empty, no words)
+    are in no pair. Repeated ids do no harm: classes are told apart by a hash of their signatures.
+
+    Sets are partitioned by length: only sets whose lengths could reach the similarity meet, and of each set only as
+    many of its rarest signatures are looked up as one of them must be shared. What meets is compared in full.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,19 +153,21 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text_batches(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(signed, "id long, sigs array<long>")
-    sets = durable(rows.where(F.size("sigs") > 0).groupBy("sigs").agg(F.min("id").alias("id")).select("id", "sigs", F.size("sigs").alias("n")))
-    spots = sets.select("id", "n", F.explode("sigs").alias("sig"))
+    rows = rows.where(F.size("sigs") > 0).select(F.xxhash64("sigs").alias("set"), "id", "sigs")
+    sets = durable(rows.groupBy("set").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs")))
+    spots = sets.select("set", "n", F.explode("sigs").alias("sig"))
     rarity = spots.groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = spots.join(rarity, "sig").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "sig")))
+    ranked = spots.join(rarity, "sig").withColumn("at", F.row_number().over(Window.partitionBy("set").orderBy("df", "sig")))
     # A set shares one of its n - ceil(least n) + 1 rarest signatures with each set that is so like it.
-    ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    width = -float(np.log(least))
-    part = F.floor(F.log(F.col("n").cast("double")) / width)
-    left = ranked.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.array(part, part + 1)).alias("part"))
-    right = ranked.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), part.alias("part"))
-    longer = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
-    met = left.join(right, ["sig", "part"]).where(longer & (F.col("na") >= F.lit(least) * F.col("nb"))).select("a", "b").distinct()
-    full = met.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b")
+    ranked = durable(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("set", "n", "sig"))
+    part = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(least)))
+    left = ranked.select("sig", F.col("set").alias("s"), F.col("n").alias("ns"), F.explode(F.array(part, part + 1)).alias("part"))
+    right = ranked.select("sig", F.col("set").alias("t"), F.col("n").alias("nt"), part.alias("part"))
+    longer = (F.col("nt") > F.col("ns")) | ((F.col("nt") == F.col("ns")) & (F.col("t") > F.col("s")))
+    met = left.join(right, ["sig", "part"]).where(longer & (F.col("ns") >= F.lit(least) * F.col("nt"))).select("s", "t").distinct()
+    side = lambda key, name, sigs: sets.select(F.col("set").alias(key), F.col("id").alias(name), F.col("sigs").alias(sigs))
+    full = met.join(side("s", "p", "x"), "s").join(side("t", "q", "y"), "t")
     inter = F.size(F.array_intersect("x", "y"))
     like = inter / (F.size("x") + F.size("y") - inter)
-    return full.select("a", "b", like.alias("likeness")).where(F.col("likeness") >= least)
+    found = full.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), like.alias("likeness"))
+    return found.where(F.col("likeness") >= least)

@@ -70,3 +70,11 @@ def test_near_pairs(spark):
             firsts.append((d, s))
     want = {(a, b) for k, (a, x) in enumerate(firsts) for b, y in firsts[k + 1 :] if spotsigs.likeness(x, y) >= 0.8}
     assert got == want and len(want) > 20
+
+
+def test_pairs_of_null_and_repeated_ids(spark):
+    long = " ".join(f"the word{i} of thing{i}" for i in range(40))
+    rows = [(None, long), (3, long), (5, long + " and more"), (5, "nothing of the kind at all in here"), (7, None), (8, "")]
+    got = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.a, r.b) for r in got] == [(3, 5)]
+    assert spotsigs.near_pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
