@@ -190,15 +190,19 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Model:
     """A model learned from the labelled texts that aren't held out, at most the `most` whose ids hash lowest.
 
-    Labels whose id or value is null are left out; of repeated ids the mean counts. Only the texts' own features are
+    Labels whose id or value is null are left out; of repeated ids the mean counts, of labels and of texts' features, so
+    no more than `most` rows of numbers reach the driver. Only the texts' own features are
     inputs. With neither labels nor texts the model scores 1/2.
     """
     given = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null")
     given = given.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.avg("_y").alias("_y"))
     chosen = given.orderBy(F.xxhash64("_id"), "_id").limit(most)
     # At most `most` rows of two numbers: a proven bound.
-    rows = _as_rows(docs, id_col, text_col).join(F.broadcast(chosen), "_id").select("_y", "_text")
-    table = rows.mapInArrow(_measured, "_y double, " + ", ".join(f"{f} double" for f in FEATURES)).limit(2 * most).toArrow()
+    rows = _as_rows(docs, id_col, text_col).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    measured = rows.mapInArrow(_measured, "_id long, _y double, " + ", ".join(f"{f} double" for f in FEATURES))
+    # A sum's last digits depend on its order, which mustn't move a cut.
+    mean = lambda f: F.when(F.min(f) == F.max(f), F.min(f)).otherwise(F.round(F.avg(f), 9)).alias(f)
+    table = measured.groupBy("_id").agg(F.first("_y").alias("_y"), *map(mean, FEATURES)).toArrow()
     x = np.column_stack([pc.fill_null(table.column(f), 0.0).to_numpy() for f in FEATURES]) if len(table) else np.zeros((0, len(FEATURES)))
     order = np.lexsort((*x.T, table.column("_y").to_numpy())) if len(table) else []
     return fit_tables(x[order], table.column("_y").to_numpy()[order] if len(table) else np.zeros(0))

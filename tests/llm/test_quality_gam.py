@@ -47,3 +47,35 @@ def test_edge_cases(spark):
     assert quality_gam.score(docs.limit(0), model).count() == 0
     assert quality_gam.keep_good(docs, model).columns == docs.columns
     assert quality_gam.fit(docs.limit(0), one).base == pytest.approx(0.0)
+
+
+def test_scores_are_sums_of_table_entries_and_trees_are_the_best_cuts():
+    import bisect
+    import math
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 3))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(float)
+    model = quality_gam.fit_tables(x, y, bins=8, rounds=20, pairs=2, pair_rounds=20)
+    for row, got in zip(x[:40], model.scores(x[:40]), strict=True):
+        total = model.base
+        for i, (edges, table) in enumerate(zip(model.edges, model.tables, strict=True)):
+            total += table[bisect.bisect_left(edges.tolist(), row[i])]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[bisect.bisect_left(model.coarse[i].tolist(), row[i])][bisect.bisect_left(model.coarse[j].tolist(), row[j])]
+        assert math.isclose(1 / (1 + math.exp(-total)), got, rel_tol=1e-9)
+    assert (0, 1) in model.pairs and ((model.scores(x) >= 0.5) == y).mean() > 0.9
+    # The first cut of a shallow tree, found by trying all of them.
+    g, h = r.normal(size=9), np.ones(9)
+    worth = lambda a: a.sum() ** 2 / (len(a) + 4.0)
+    best = max(range(1, 9), key=lambda k: worth(g[:k]) + worth(g[k:]))
+    leaves = quality_gam._shallow(g, h, 2, 4.0, 0.5)
+    assert np.allclose(leaves[:best], g[:best].sum() / (best + 4)) and np.allclose(leaves[best:], g[best:].sum() / (9 - best + 4))
+
+
+def test_repeated_ids_count_by_their_mean(spark):
+    docs = spark.createDataFrame([(i % 30, ("good prose of the day, " if i % 2 else "### $$$ !!! ") * (20 + i % 7)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality_gam.fit(docs, labels, most=12)
+    again = quality_gam.fit(docs.repartition(5), labels, most=12)
+    assert model.base == again.base and all(np.allclose(a, b) for a, b in zip(model.tables, again.tables, strict=True))
