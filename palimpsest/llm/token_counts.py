@@ -43,12 +43,12 @@ def _tokenizer(path: str):
     single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     single.encode_special_tokens = True  # a pre-token is ordinary text: the special strings were cut out before
     cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-    return whole.normalizer, cut, regex.compile(split["pattern"]["Regex"]), single
+    return whole.normalizer, cut, {s[0] for s in special}, regex.compile(split["pattern"]["Regex"]), single
 
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normalizer, cut, pattern, single = _tokenizer(path)
+        normalizer, cut, firsts, pattern, single = _tokenizer(path)
         pieces: dict[str, int] = {}
 
         def counted(texts: list[str]) -> list[int]:
@@ -56,7 +56,7 @@ def _counter(path: str):
             split, ends, extra = [], [], []
             for text in texts:
                 parts, found = [text], 0
-                if cut and "<" in text:
+                if cut and any(c in text for c in firsts):
                     parts = cut.split(text)
                     found = len(parts) - 1
                 for part in parts:

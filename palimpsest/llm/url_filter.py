@@ -43,7 +43,8 @@ def node_of(url: Column) -> Column:
 
 
 def _tags(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0))
+    # A > within quotes doesn't end a tag.
+    return F.regexp_extract_all(html, F.lit(r"""(?is)<(?:link|meta)\b[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""), F.lit(0))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -51,12 +52,25 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(value, "^[\"']|[\"']$", "")), "&amp;", "&")
 
 
+def _without_dots(url: Column) -> Column:
+    """url with its path's . and .. segments taken out."""
+    head, tail = F.regexp_extract(url, r"(?s)^([^?#]*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(path_of(url), "/")
+    step = lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(p)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.element_at(parts, -1)
+    return F.when(path_of(url).contains("/."), F.concat(head, F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""), tail)).otherwise(url)
+
+
 def resolved(target: Column, base: Column) -> Column:
-    """target as an absolute url, seen from base: absolute, //host, /path and relative forms; null for other schemes."""
+    """target as an absolute url, seen from base: absolute, //host, /path and relative forms; null for other schemes.
+
+    Segments . and .. are taken out. A page's own <base> is not heeded.
+    """
     scheme = F.regexp_extract(base, r"(?s)^([^:/?#]*):", 1)
     root = F.concat(scheme, F.lit("://"), host_of(base))
     folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    return (
+    return _without_dots(
         F.when(target.rlike(r"^(?i)https?://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))

@@ -86,3 +86,15 @@ def test_relative_targets(spark):
     cases = [("q", "http://a.b/c/d?x", "http://a.b/c/q"), ("/q", "https://a.b/c", "https://a.b/q"), ("//h/q", "https://a.b/c", "https://h/q"), ("?z", "http://a.b/c", "http://a.b/c?z"), ("#z", "http://a.b/c", None), ("q", "http://a.b", "http://a.b/q"), ("HTTP://x/y", "http://a.b", "HTTP://x/y")]
     df = spark.createDataFrame(cases, "t string, b string, want string").select(url_filter.resolved(F.col("t"), F.col("b")).alias("got"), "want")
     assert all(r.got == r.want for r in df.collect())
+
+
+def test_dots_quotes_and_long_tags(spark):
+    rows = [
+        (1, "http://a.example/x/y/z?q", '<link rel="canonical" href="../w">'), (2, "http://a.example/x/", '<meta http-equiv=refresh content="0; url=./v/./u/.." >'),
+        (3, "http://a.example/p", '<link title="a > b" data-x="' + "y" * 9000 + '" rel=canonical href="/q">'), (4, "http://a.example/r", '<link rel="canonical" href="/../../s#f">'),
+    ]
+    docs = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, target string")
+    got = {r.url: r.target for r in url_filter.alias_links(docs).collect()}
+    assert got == {"http://a.example/x/y/z?q": "http://a.example/x/w", "http://a.example/x/": "http://a.example/x/v/", "http://a.example/p": "http://a.example/q", "http://a.example/r": "http://a.example/s#f"}
+    judged = url_filter.judge(docs.union(docs)).collect()
+    assert len(judged) == 8 and {r.verdict for r in judged} == {"allow"}
