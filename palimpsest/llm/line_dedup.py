@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.text import durable, n_spaced, spaced, unused
+from palimpsest.llm.text import checked, durable, n_spaced, spaced, unused
 
 #: A line of n words may differ from an earlier one by n // WORDS_PER_EDIT words, one at most.
 WORDS_PER_EDIT = 8
@@ -60,10 +60,11 @@ def near_lines(lines: DataFrame) -> DataFrame:
         F.when(F.col("i") == F.col("n") - 1, F.struct(F.xxhash64("to_here", F.col("n") + 1).alias("key"), F.lit(-1).alias("i"))),
     )
     # One row for each variant, and one of i = -1 for the whole line under the key that a longer line's variant has.
-    forms = word.select("line", "place", F.explode(forms).alias("x")).where("x is not null").select("x.key", "x.i", "line", "place").repartition("key")
+    # Written, as are the first ones, so that the join deals both anew and a key that very many lines share can be split.
+    forms = durable(word.select("line", "place", F.explode(forms).alias("x")).where("x is not null").select("x.key", "x.i", "line", "place"))
     # Substitution: all lines that agree without their i-th word are one edit apart; the earliest speaks for them.
     first = forms.groupBy("key", "i").agg(F.min(F.struct("place", "line")).alias("first"), F.count("*").alias("m")).where("m > 1 or i = -1")
-    first = first.select(F.col("key").alias("at"), F.col("i").alias("first_i"), "first.*", "m").withColumnsRenamed({"line": "first_line", "place": "first_place"})
+    first = durable(first.select(F.col("key").alias("at"), F.col("i").alias("first_i"), F.col("first.line").alias("first_line"), F.col("first.place").alias("first_place"), "m"))
     # Insertion: a line without its i-th word is another line as a whole.
     alike = ((F.col("i") == F.col("first_i")) & (F.col("m") > 1) & (F.col("line") != F.col("first_line"))) | ((F.col("first_i") == -1) & (F.col("i") >= 0))
     met = forms.join(first, (F.col("key") == F.col("at")) & alike)
@@ -87,17 +88,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
     candidates = halves.join(shared, "key").groupBy("line").agg(F.bool_or(F.col("k") % 2 == 0).alias("head"), F.bool_or(F.col("k") % 2 == 1).alias("tail"))
     # The words of the candidates, from their first place.
-    first = durable(lines.select("line", "place").join(candidates, "line").select("line", "place", "place.doc", "place.copy", "place.at", "head", "tail"))
-    of = durable(first.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "line", "place", "head", "tail")).alias("wanted")).withColumnsRenamed({"doc": "__doc__", "copy": "__copy__"}))
+    first = durable(lines.select("line", "place").join(candidates, "line").select("line", "place.doc", "place.copy", "place.at", "head", "tail"))
+    of = durable(first.groupBy("doc", "copy").agg(F.collect_list(F.struct("at", "line", "head", "tail")).alias("wanted")).withColumnsRenamed({"doc": "__doc__", "copy": "__copy__"}))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("_text"))
-    texts = texts.join(of, F.col("doc").eqNullSafe(F.col("__doc__")) & (F.col("copy") == F.col("__copy__")))
-    texts = texts.select(F.split("_text", "\n").alias("_lines"), "wanted").select("_lines", F.explode("wanted").alias("x"))
-    words = texts.select("x.line", "x.place", "x.head", "x.tail", spaced(F.get("_lines", F.col("x.at"))).alias("words")).dropDuplicates(["line"]).withColumn("n", n_spaced(F.col("words")))
+    texts = texts.join(checked(of, F.size("wanted")), F.col("doc").eqNullSafe(F.col("__doc__")) & (F.col("copy") == F.col("__copy__")))
+    texts = texts.select("doc", "copy", F.split("_text", "\n").alias("_lines"), "wanted").select("doc", "copy", "_lines", F.explode("wanted").alias("x"))
+    words = texts.select("x.line", F.struct("doc", "copy", "x.at").alias("place"), "x.head", "x.tail", spaced(F.get("_lines", F.col("x.at"))).alias("words")).dropDuplicates(["line"]).withColumn("n", n_spaced(F.col("words")))
     words = durable(words)
     near = durable(near_lines(words).select("line").distinct())
     gone = lines.join(near.withColumn("near", F.lit(True)), "line", "left").where("near or m > 1").select("line", "place", F.coalesce("near", F.lit(False)).alias("near"))
     # Written, so that the join deals both sides anew and a line that a third of the documents have can be split.
-    gone = durable(gone)
+    gone = checked(durable(gone))
     return found.join(gone, "line").where(F.col("near") | (F.struct("doc", "copy", "at") != F.col("place"))).select("doc", "copy", "at")
 
 
