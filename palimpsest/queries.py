@@ -80,6 +80,19 @@ def page_with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("resource", value("/status").alias("status"), value("/priority").alias("priority"), value("/flags").alias("flags"))
 
 
+@query("""select '/status' as path, count(*) as n from orders union all select '/priority', count(*) from orders union all select '/flags', count(*) from (select distinct l_orderkey, l_returnflag from lineitem)
+  union all select '/price', count(*) from orders union all select '/date', count(*) from orders union all select '/line/price', count(*) from lineitem""")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index derived and written anew: rows by path."""
+    import uuid
+
+    from palimpsest.session import shared_folder
+    from palimpsest.sources.index_rows import write_index
+
+    index = write_index(tables.derived_order_index(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return index.facet.select("path").union(index.sort.select("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
 @query(f"select distinct 'orders' as ns, {LINE_NAME} as resource from lineitem where l_partkey = 7 order by 1, 2 limit 100")
 def ref_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_query.referrers(tables.order_index(spark, sf_dir).refs, "/r/part/7")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.functions.variant import as_number, as_string, get, kind
 from palimpsest.plans.index_query import Index
@@ -164,3 +165,31 @@ def parse_references(rows: DataFrame, column: str = "ref") -> DataFrame:
     """rows with target_ns, target, rev and entry of well-formed references; others go."""
     part = lambda k: F.nullif(F.regexp_extract(column, REFERENCE, k), F.lit(""))
     return rows.where(F.col(column).rlike(REFERENCE)).withColumns({"target_ns": part(1), "target": part(2), "rev": part(3), "entry": part(4)})
+
+
+#: How a persisted table is laid out: the column whose values are folders, and the order of rows within files.
+LAYOUT = {"docs": (None, ["resource"]), "facet": ("path", ["value"]), "sort": ("path", ["rank", "num", "str", "bool"]), "refs": (None, ["target_ns", "target"]), "tokens": (None, ["token"])}
+
+
+def write_index(index: Index, path: str) -> Index:
+    """index as tables under path, and the index that reads them.
+
+    Facets and sort values lie in a folder for each path, in order of value, references by target and tokens by token,
+    so a query reads the path it names and, by the files' statistics, little more than the values it asks for.
+    """
+    for name, (folder, order) in LAYOUT.items():
+        if (rows := getattr(index, name)) is not None:
+            keys = [folder, *order] if folder else order
+            writer = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write
+            (writer.partitionBy(folder) if folder else writer).parquet(f"{path}/{name}")
+    marked = [(k, p) for k, paths in index.marked.items() for p in sorted(paths)]
+    index.docs.sparkSession.createDataFrame(marked, "kind string, path string").coalesce(1).write.parquet(f"{path}/marked")
+    return read_index(index.docs.sparkSession, path, {n: getattr(index, n).schema for n in LAYOUT if getattr(index, n) is not None})
+
+
+def read_index(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> Index:
+    """The index that write_index() wrote; schemas: of the tables that it has."""
+    marked: dict[str, set[str]] = {}
+    for r in spark.read.schema("kind string, path string").parquet(f"{path}/marked").collect():  # a few paths of schemas
+        marked.setdefault(r.kind, set()).add(r.path)
+    return Index(**{n: spark.read.schema(s).parquet(f"{path}/{n}").select(*s.names) for n, s in schemas.items()}, marked=marked)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.plans.index_query import Index
+from palimpsest.session import shared_folder
+from palimpsest.sources.index_rows import write_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +37,18 @@ def sort_rows(docs: DataFrame, path: str, number=None, text=None) -> DataFrame:
     )
 
 
+_written: dict[tuple[str, str], Index] = {}
+
+
 def order_index(spark: SparkSession, sf_dir: str) -> Index:
+    """derived_order_index() as tables in the session's shared folder, written by the first query that asks for them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = write_index(derived_order_index(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _written[key]
+
+
+def derived_order_index(spark: SparkSession, sf_dir: str) -> Index:
     """orders as documents: facets status and priority (and their lines' flags), sorts price and date, references."""
     name = F.lpad(F.col("o_orderkey").cast("string"), 10, "0")
     orders = table(spark, sf_dir, "orders").withColumns({"ns": F.lit("orders"), "resource": name})
