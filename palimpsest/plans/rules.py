@@ -23,13 +23,15 @@ class Envelope:
     """value: the change envelope as a variant; writes: array of arrays of segments; hidden: members that are unknown.
 
     columns: pointers whose values are real columns of the rows, as (string | number | boolean, column), null if missing.
-    Conditions on them are plain comparisons, which reach the scan; all other pointers are looked up in value.
+    Conditions on them are plain comparisons; all other pointers are looked up in value. stored: those of columns that
+    a table stores as they are; what rules ask of these alone is split off, so that it reaches the scan.
     """
 
     value: Column | None = None
     writes: Column | None = None
     hidden: frozenset[str] = frozenset()
     columns: Mapping[str, tuple[str, Column]] = field(default_factory=dict)
+    stored: frozenset[str] = frozenset()
 
     def at(self, pointer: str) -> Column:
         if pointer in self.columns:
@@ -180,7 +182,30 @@ def passes(rules: list[dict], envelope: Envelope) -> Column:
     """Whether all rules are true."""
     found = _fold(rules, envelope, True)
     # Only hidden members and writes can be unknown; without them the condition stays bare, so that its parts reach the scan.
-    return F.coalesce(found, F.lit(False)) if envelope.hidden or any("writes" in members_read(r) for r in rules) else found
+    found = F.coalesce(found, F.lit(False)) if envelope.hidden or any("writes" in members_read(r) for r in rules) else found
+    first = implied({"all": rules}, envelope)
+    return found if first is None else first & found
+
+
+def implied(rule: dict, envelope: Envelope, negated: bool = False) -> Column | None:
+    """A condition on stored columns alone that holds wherever the rule does (or doesn't, if negated); None if there is none."""
+    if "not" in rule:
+        return implied(rule["not"], envelope, not negated)
+    if "if" in rule:
+        return implied({"any": [{"not": {"all": rule["if"]}}, {"all": rule["then"]}]}, envelope, negated)
+    if "all" in rule or "any" in rule:
+        parts = [implied(r, envelope, negated) for r in rule["all" if "all" in rule else "any"]]
+        every = ("all" in rule) != negated
+        kept = [p for p in parts if p is not None]
+        if not kept or (not every and len(kept) < len(parts)):
+            return None
+        out = kept[0]
+        for p in kept[1:]:
+            out = out & p if every else out | p
+        return out
+    if rule.get("path") not in envelope.stored or envelope.unknown(rule["path"]) or (found := _typed(rule, envelope.columns)) is None:
+        return None
+    return ~found if negated else found
 
 
 def reader_filter(blocks: list[list[dict]], roles: list[list[dict]], envelope: Envelope) -> Column:

@@ -247,7 +247,7 @@ def rule_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     }
     columns = {"/principal/id": ("string", F.col("author")), "/doc/k": ("number", F.get_json_object("props", "$.k").cast("double"))}
-    return tables.event_log(spark, sf_dir).where(rules.passes([rule], rules.Envelope(columns=columns))).select("seq", "resource")
+    return tables.event_log(spark, sf_dir).where(rules.passes([rule], rules.Envelope(columns=columns, stored=frozenset({"/principal/id"})))).select("seq", "resource")
 
 
 @query(f"select seq, cast(props::json ->> 'k' as int) between 10 and 80 and cast(props::json ->> 'k' as int) <> 42 as valid from {LOG}")

@@ -219,11 +219,13 @@ def filtered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with h as (select resource, case arg_max(kind, seq) when 'head' then 'live' else 'tombstoned' end as state from {LOG} group by 1)
-  select bat as seq, resource, target, 'base' as base, state from {BATCHES} join h using (resource) where bat > 2000""")
+  select bat as seq, resource, target, 'base' || (bat % 2) as base, state from {BATCHES} join h using (resource) where bat > 2000""")
 def tailed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a tailer sees after an entry: batches spelt out, with the namespace's base and the resource's state."""
-    spaces = spark.createDataFrame([("events", "base")], "ns string, base string")
-    return log.tailed(_batches(spark, sf_dir), spaces, log.heads_as_of(tables.event_log(spark, sf_dir)), 2000).select("seq", "resource", "target", "base", "state")
+    spaces = spark.createDataFrame([("s0", "base0"), ("s1", "base1"), ("s2", "base2")], "ns string, base string")
+    batches = _batches(spark, sf_dir).withColumn("ns", F.concat(F.lit("s"), F.col("seq") % 2))
+    heads = log.heads_as_of(tables.event_log(spark, sf_dir)).withColumn("ns", F.explode(F.array(F.lit("s0"), F.lit("s1"))))
+    return log.tailed(batches, spaces, heads, 2000).select("seq", "resource", "target", "base", "state")
 
 
 @query(f"""with s as (select resource, max(seq) as s from {LOG} where author = 'purchase' group by 1)
