@@ -74,3 +74,14 @@ def test_template_lines_keep_the_earliest(spark, n):
     rows = [(d, f"page {d} of the long report about all the numbers") for d in range(n)]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in got.collect() if r.text] == [0]
+
+
+def test_very_long_lines_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    edited = long.replace(" w777 ", " other ")
+    rows = [(1, long), (2, edited), (3, long + "\nshort line"), (4, None), (4, "short line")]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, `__gone__` string, `__doc__` string")
+    out = dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines_dropped"]
+    got = sorted((r.doc_id, r.text, r.n_lines_dropped, r["__gone__"]) for r in out.collect() if r.text is not None)
+    assert got == [(1, long, 0, "a"), (2, "", 1, "a"), (3, "short line", 1, "a"), (4, "", 1, "a")]

@@ -123,3 +123,30 @@ def test_width(spark, width):
     got = minmax_hash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=70)
     assert {tuple(r) for r in got.collect()} == brute(rows, width, 70)
     assert got.select(F.max("n_shingles")).first()[0] == 11 - width
+
+
+def test_a_family_that_is_merely_alike_keeps_its_planted_pairs(spark):
+    random.seed(31)
+    core = [f"c{i}" for i in range(76)]
+    page = lambda name: " ".join([*core, *(f"{name}_{k}" for k in range(24))])
+    rows = [(i, page(f"p{i}")) for i in range(700)]
+    for i in range(0, 120, 3):  # similarity about 0.83 to one page of the family, 0.61 to all others
+        rows.append((1000 + i, rows[i][1].rsplit(" ", 9)[0] + "".join(f" q{i}_{k}" for k in range(9))))
+    got = {r.doc_id: r.component_id for r in minmax_hash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=1).collect()}
+    assert all(got[d] == (d - 1000 if d >= 1000 else d) for d in got)
+    a, b, c = (set(rows[k][1].split()) for k in (0, 700, 5))
+    assert len(a & b) / len(a | b) >= 0.8 > 0.65 > len(a & c) / len(a | c)
+
+
+def test_blocks_of_one_large_root(spark, monkeypatch):
+    monkeypatch.setattr(minmax_hash, "BLOCK", 16)
+    random.seed(9)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for c in range(120):
+        w = list(base)
+        for k in range(random.randrange(14)):
+            w[random.randrange(90)] = f"x{c}_{k}"
+        rows.append((c, " ".join(w)))
+    got = minmax_hash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 1, 80)
