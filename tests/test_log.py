@@ -108,7 +108,17 @@ def test_write_gate(spark):
     assert got[1] == (False, 1) and got[2] == (False, 1) and got[3] == (True, None)
 
 
-def test_token_bucket(spark):
-    rows = [("k", float(t), 1.0, i) for i, t in enumerate((0, 0, 0, 0.5, 1, 5))] + [("j", 0.0, 9.0, 10), ("j", 1.0, 1.0, 11)]
-    got = {r.id: r.admitted for r in writes.admit(spark.createDataFrame(rows, "key string, at double, cost double, id long"), 1.0, 2.0).collect()}
-    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 10: True, 11: False}
+def test_bases_deeper_than_allowed_are_an_error(spark):
+    spaces = spark.createDataFrame([(f"n{i}", f"n{i + 1}" if i < 12 else None, i) for i in range(13)], "ns string, base string, base_at long")
+    assert branch.base_chain(spaces, "n0", deepest=12).count() == 13 and branch.base_chain(spaces, "n12", deepest=12).count() == 1
+    for wrong in (branch.base_chain, lambda s, _: branch.descendants(s)):
+        with pytest.raises(ValueError):
+            wrong(spaces, "n0")
+
+
+def test_pages_never_pass_their_size(spark):
+    sizes = [60, 60, 60, 250, 10, 90, 1, 100]
+    rows = spark.createDataFrame([("n", "r", i, n) for i, n in enumerate(sizes)] + [("n", "s", 0, 5)], "ns string, resource string, seq long, size long")
+    got = log.byte_pages(rows, F.col("size"), 100).where("resource = 'r'").orderBy("seq").collect()
+    assert [r.page for r in got] == [0, 1, 2, 3, 4, 4, 5, 6]
+    assert log.byte_pages(rows.limit(0), F.col("size"), 100).count() == 0
