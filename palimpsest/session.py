@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
